@@ -68,6 +68,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACES + "+")), F.lit(0)).cast("long")
 
 
+def slices(batch, most_bytes: int = 4_000_000):
+    """Parts of an Arrow batch of about most_bytes each, one row at least; a batch without rows has none."""
+    n = batch.num_rows
+    step = max(1, int(n * most_bytes / max(batch.nbytes, 1)))
+    for at in range(0, n, step):
+        yield batch.slice(at, step)
+
+
 def numbered_types(df: DataFrame, *names: str) -> str:
     """DDL of the named columns, in order."""
     kinds = dict(df.dtypes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact, mixing, quality, urlfilter
+from . import common, exact, mixing, piece, quality, simhash, toxicity, urlfilter
 
 #: (action, host, path)
 URL_RULES = (
@@ -33,12 +33,33 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.group_near(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = exact.dedup_exact(_table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op5_quality_rules, op8_exact_dedup)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    return piece.digest_pieces(_table(spark, sf_dir, "documents"), model_path or piece_model())
+
+
+def piece_model() -> str:
+    """Path of the vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op5_quality_rules, op7_simhash_near_dedup, op8_exact_dedup, op9_toxicity, op10_sentencepiece)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
