@@ -55,6 +55,7 @@ class DigestIndex:
         rows = docs.select("doc_id", digest_of(F.col("text")).alias("digest")).groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("repeats"))
         rows = common.materialise(rows, "exact-rows")
         groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("repeats").alias("group_size"))
+        groups = common.materialise(groups, "exact-groups")  # else the anti-join moves below the aggregate, to all rows
         self.append_new(groups, batch)
         index = self.read()
         known = index.select("digest", "keep_id", "group_size", (F.col("batch") == batch).alias("own"))
