@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact, mixing, piece, quality, simhash, toxicity, urlfilter
+from . import common, exact, mixing, piece, quality, simhash, suffix, toxicity, urlfilter
 
 #: (action, host, path)
 URL_RULES = (
@@ -33,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.group_near(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -59,7 +63,7 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op5_quality_rules, op7_simhash_near_dedup, op8_exact_dedup, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op5_quality_rules, op6_suffix_dedup, op7_simhash_near_dedup, op8_exact_dedup, op9_toxicity, op10_sentencepiece)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
