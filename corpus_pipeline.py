@@ -1,28 +1,57 @@
-"""A corpus pipeline of the operators for training text: each stage works on what its predecessor kept."""
+"""A corpus pipeline of the operators for training text: each stage works on what its predecessor kept.
+
+1. toxicity: documents that the classifier scores at its threshold or above go;
+2. exact dedup: of texts that are equal but for the case of A-Z, the row with the largest doc_id stays;
+3. SimHash near-dedup: of texts whose 5-word shingles have a similarity of 0.8 or more, one document stays;
+4. mixing: documents are taken as often as their source's target asks, up to three times or not at all;
+5. SentencePiece: what is left is encoded, and decoded again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathomline.llm import common, exact, mixing, piece, simhash, toxicity
+from fathomline.llm.queries import piece_model
 
-from fathomline.llm import common, exact, mixing
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_exact(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near(docs, words=5, similarity=0.8)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit_mix(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("mixing sources to target weights", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    encoded = piece.encode_pieces(docs, piece_model())
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode),
+]
 
-#: Toxicity scores, fingerprints and token ids are beyond SQL; tests hold the pipeline against a brute-force version.
+#: Scores, fingerprints and token ids are beyond SQL; a test holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), "stage")
+        docs = common.materialise(stage(spark, docs, sf_dir), "pipeline")
     return docs

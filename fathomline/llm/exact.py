@@ -80,15 +80,6 @@ def dedup_exact(docs: DataFrame, index_path: str | None = None, batch: str = "fi
 
 def drop_exact(docs: DataFrame, index_path: str | None = None, batch: str = "first") -> DataFrame:
     """The rows of docs that dedup_exact keeps, with all their columns."""
-    verdicts = dedup_exact(docs, index_path, batch)
-    per_id = verdicts.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("repeats"))
-    per_id = common.materialise(per_id, "exact-verdicts").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "kept", "repeats")
-    marked = docs.withColumn("_own_digest", digest_of(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own_digest") == F.col("_digest"))
-    dropped = per_id.where(~F.col("kept") | (F.col("repeats") > 1)).select("_doc", "_digest")
-    once = marked.join(dropped, same, "left_anti").select(*docs.columns)
-    again = per_id.where(F.col("kept") & (F.col("repeats") > 1)).select("_doc", "_digest")
-    if again.isEmpty():
-        return once
-    whole = F.struct(*docs.columns)
-    return once.unionByName(marked.join(again, same, "left_semi").groupBy("doc_id", "_own_digest").agg(F.max(whole).alias("_row")).select("_row.*"))
+    verdicts = dedup_exact(docs, index_path, batch).withColumnRenamed("digest", "key")
+    per_pair = verdicts.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("repeats"))
+    return common.keep_one(docs, common.materialise(per_pair, "exact-verdicts"), digest_of(F.col("text")))

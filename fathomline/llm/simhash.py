@@ -36,37 +36,51 @@ BUCKET = 1024
 STRIDE = 1 << 16
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of a text in UTF-8: a bit is set if it is in more than half of the shingles' hashes."""
+def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes themselves, or for further bits a mix of them."""
+    if not lane:
+        return hashes
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes, words: int, lanes: int = 1) -> np.ndarray:
+    """SimHash of a text in UTF-8, 64 bits a lane: a bit is set if it is in more than half of the shingles' hashes."""
     parts = text.lower().split()  # of bytes: lower-cases A-Z and splits at the six ASCII spaces only
     if not parts:
-        return 0
+        return np.zeros(lanes, np.uint64)
     line = b" ".join(parts)
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.concatenate([_lane(np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64), k) for k in range(lanes)])
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
     of = xxhash.xxh64_intdigest
     hashes = np.array([of(line[a:b], SEED) for a, b in spans], dtype="<u8")
-    counts = np.zeros(BITS, np.int64)
+    counts = np.zeros((lanes, BITS), np.int64)
     for at in range(0, len(hashes), STRIDE):
-        bits = np.unpackbits(hashes[at : at + STRIDE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    set_bits = np.packbits(counts * 2 > len(hashes), bitorder="little")
-    return int(set_bits.view("<u8")[0])
+        for k in range(lanes):
+            some = _lane(hashes[at : at + STRIDE], k)
+            counts[k] += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u8").reshape(lanes)
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and fp (a long that holds the unsigned bits) of each of docs(doc_id, text)."""
+def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
+    """doc_id, key (of the text) and fp of each of docs(doc_id, text): a long that holds the unsigned bits, or for several lanes
+    binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
-                fps = np.fromiter((fingerprint(t or b"", words) for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                fps = np.array([fingerprint(t or b"", words, lanes) for t in part.column("text").to_pylist()], np.uint64).reshape(part.num_rows, lanes)
+                held = pa.array(fps.reshape(-1).view(np.int64)) if lanes == 1 else pa.array([x.tobytes() for x in fps], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), held], names=["doc_id", "key", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{common.numbered_types(docs, 'doc_id')}, fp bigint")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"{common.numbered_types(docs, 'doc_id')}, key bigint, fp {'bigint' if lanes == 1 else 'binary'}")
 
 
 def _division(n: int, radius: int) -> tuple[int, int]:
@@ -89,20 +103,23 @@ def _signed(x: int) -> int:
 
 
 def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the fingerprints (distinct, unsigned) within radius of each other, as index pairs."""
-    pop = np.bitwise_count(fps).astype(np.int64)
+    """Links of a spanning forest of the fingerprints (n x lanes, unsigned, distinct) within radius of each other, as index pairs."""
+    pop = np.bitwise_count(fps).sum(axis=1, dtype=np.int64)
     order = np.argsort(pop, kind="stable")
-    x, pop = fps[order], pop[order]
-    n = len(x)
+    x, pop = np.ascontiguousarray(fps[order].T), pop[order]
+    n = len(pop)
     label = np.arange(n)
     for a in range(0, n, TILE):
-        left = x[a : a + TILE]
         top = pop[min(a + TILE, n) - 1]
         for b in range(a, n, TILE):
             if pop[b] - top > radius:  # and so for all tiles after it
                 break
-            right = x[b : b + TILE]
-            i, j = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= radius)
+            apart = np.bitwise_count(x[0, a : a + TILE, None] ^ x[0, None, b : b + TILE])
+            if len(x) > 1:
+                apart = apart.astype(np.uint16)
+                for lane in x[1:]:
+                    apart += np.bitwise_count(lane[a : a + TILE, None] ^ lane[None, b : b + TILE])
+            i, j = np.nonzero(apart <= radius)
             i, j = i + a, j + b
             new = label[i] != label[j]
             if new.any():
@@ -129,11 +146,9 @@ def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _links(nodes: DataFrame, radius: int) -> DataFrame:
-    """u, v: fingerprints of nodes(fp) that are linked within a bucket; as many rows as bucket entries at most."""
-    n = nodes.count()
-    masks = _masks(*_division(n, radius))
-    keyed = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("table", "key"))
+def _links(keyed: DataFrame, radius: int) -> DataFrame:
+    """u, v: fingerprints of keyed(table, key, fp) that are linked within a bucket; as many rows as bucket entries at most."""
+    kind = dict(keyed.dtypes)["fp"]
     crowds = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
     crowds = common.materialise(crowds.select(F.col("table").alias("_table"), F.col("key").alias("_key"), F.ceil(F.col("n") / CROWD).cast("int").alias("parts")), "simhash-crowds")
     if crowds.isEmpty():
@@ -149,17 +164,26 @@ def _links(nodes: DataFrame, radius: int) -> DataFrame:
         held_key, held = None, []
 
         def close() -> pa.RecordBatch | None:
-            x = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            x = np.concatenate(held) if held else np.zeros((0, 1), np.uint64)
             if len(x) < 2:
                 return None
-            u, v = forest(x, radius)
-            return pa.RecordBatch.from_arrays([pa.array(x[u].view(np.int64)), pa.array(x[v].view(np.int64))], names=["u", "v"]) if len(u) else None
+            pairs = forest(x, radius)
+            if kind == "bigint":
+                ends = [pa.array(x[k, 0].view(np.int64)) for k in pairs]
+            else:
+                ends = [pa.array([r.tobytes() for r in x[k]], pa.binary()) for k in pairs]
+            return pa.RecordBatch.from_arrays(ends, names=["u", "v"]) if len(pairs[0]) else None
+
+        def unsigned(column: pa.Array) -> np.ndarray:
+            if kind == "bigint":
+                return column.to_numpy().view(np.uint64).reshape(-1, 1)
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [batch.column(k).to_numpy() for k in keys]
-            fps = batch.column("fp").to_numpy().view(np.uint64)
+            fps = unsigned(batch.column("fp"))
             starts = np.nonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0))[0] + 1
             for s, e in zip([0, *starts.tolist()], [*starts.tolist(), len(fps)], strict=True):
                 key = tuple(c[s] for c in columns)
@@ -171,16 +195,73 @@ def _links(nodes: DataFrame, radius: int) -> DataFrame:
         if (out := close()) is not None:
             yield out
 
-    spread = units.repartition(common.shuffle_partitions(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
-    return spread.mapInArrow(run, "u bigint, v bigint")
+    spread = units.repartition(common.shuffle_partitions(keyed.sparkSession), *keys).sortWithinPartitions(*keys)
+    return spread.mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _grouped(prints: DataFrame, nodes: DataFrame, keyed: DataFrame, radius: int) -> DataFrame:
+    """prints with root, the smallest fingerprint that links of keyed reach, and component_id, the smallest doc_id."""
+    roots = components(_links(keyed, radius))
+    rooted = common.materialise(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = common.materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-least").withColumnRenamed("root", "_root")
+    named = common.materialise(rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component_id"), "simhash-named")
+    return prints.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def group_near(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fp and component_id of each of docs(doc_id, text)."""
+    """doc_id, key, fp, root and component_id of each of docs(doc_id, text): all links of 64-bit fingerprints within radius."""
     prints = common.materialise(fingerprints(docs, words), "simhash-prints")
     nodes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    roots = components(_links(nodes.select("fp"), radius))
-    rooted = common.materialise(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    least = common.materialise(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-least").withColumnRenamed("root", "_root")
-    named = common.materialise(rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id"), "simhash-named")
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    masks = _masks(*_division(nodes.count(), radius))
+    keyed = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks))).alias("table", "key"))
+    return _grouped(prints, nodes, keyed, radius)
+
+
+#: Lanes of the wide fingerprint; share of pairs at the similarity itself that some band brings together; standard deviations
+#: that the radius lies above the mean distance at that similarity.
+LANES, BAND_RECALL, SLACK = 4, 0.98, 1.3
+
+
+def _distance(similarity: float) -> float:
+    """Share of bits in which two texts of equal length differ on average, whose shingles have this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def group_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, key, fp, root and component_id of each of docs(doc_id, text), for shingles of that Jaccard similarity or more.
+
+    64 bits can't tell 0.8 from 0.6, and no division of so few bits finds pairs that differ in ten: the fingerprint has LANES
+    times as many, a pair meets if it agrees in one of several bands of bits, and tiles compare whole fingerprints."""
+    bits, p = LANES * BITS, _distance(similarity)
+    radius = round(bits * p + SLACK * (bits * p * (1 - p)) ** 0.5)
+    prints = common.materialise(fingerprints(docs, words, LANES), "simhash-wide")
+    nodes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
+    wide = min(60, max(10, int(np.ceil(np.log2(max(nodes.count(), 1) / (BUCKET / 4))))))
+    bands = int(np.ceil(np.log(1 - BAND_RECALL) / np.log(1 - (1 - p) ** wide)))
+    chosen = np.random.default_rng(SEED).permuted(np.tile(np.arange(bits), (bands, 1)), axis=1)[:, :wide]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(wide, dtype=np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                on = np.unpackbits(np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
+                keys = (on[:, chosen].astype(np.int64) * weights).sum(axis=2)  # rows x bands
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), bands))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(keys.reshape(-1)), batch.column("fp").take(rows)], names=["table", "key", "fp"])
+
+    keyed = nodes.select("fp").mapInArrow(run, "table int, key bigint, fp binary")
+    return _grouped(prints, nodes, common.materialise(keyed, "simhash-bands"), radius)
+
+
+def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each group of similar texts, with all its columns: that with the smallest doc_id and key (null last)."""
+    groups = common.materialise(group_similar(docs, words, similarity), "simhash-groups")
+    pairs = common.materialise(groups.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("repeats")), "simhash-pairs")
+    first = pairs.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    first = common.materialise(first.select("root", "first.doc_id", "first.key"), "simhash-first")
+    first = first.select(F.col("root").alias("_root"), F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
+    stays = pairs.join(first, F.col("root") == F.col("_root"))
+    kept = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))
+    verdicts = common.materialise(stays.select("doc_id", "key", kept.alias("kept"), "repeats"), "simhash-verdicts")
+    return common.keep_one(docs, verdicts, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
