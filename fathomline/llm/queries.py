@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact, mixing, piece, quality, simhash, suffix, toxicity, urlfilter
+from . import cdc, common, exact, mixing, piece, quality, simhash, suffix, tokencount, toxicity, urlfilter
 
 #: (action, host, path)
 URL_RULES = (
@@ -29,6 +29,28 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark, URL_RULES))
 
 
+def standard_edits(docs: DataFrame) -> DataFrame:
+    """docs with the edits that the count query applies: the first line's end is marked, 40 characters go at a third of the text, a
+    sentence comes in at its middle, and a word at its end."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    line = F.instr(F.coalesce("text", F.lit("")), "\n") - 1
+    first = F.when(line > 0, line).otherwise(0)
+    one = lambda start, stop, text: F.struct(F.expr("int(null)").alias("start") if start is None else start.cast("int").alias("start"), F.expr("int(null)").alias("stop") if stop is None else stop.cast("int").alias("stop"), F.lit(text).alias("text"))
+    edits = F.array(one(first, first, " (1)"), one(F.floor(n / 3), F.floor(n / 3) + 40, ""), one(F.floor(n / 2), F.floor(n / 2), " This part was revised."), one(None, None, " end"))
+    return docs.select("doc_id", "text", edits.alias("edits"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return tokencount.count_tokens(standard_edits(_table(spark, sf_dir, "documents")), path, public_tokenizers.PATTERN)
+
+
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.dedup_chunks(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +85,7 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op5_quality_rules, op6_suffix_dedup, op7_simhash_near_dedup, op8_exact_dedup, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_url_filter, op3_token_counts, op4_chunk_dedup, op5_quality_rules, op6_suffix_dedup, op7_simhash_near_dedup, op8_exact_dedup, op9_toxicity, op10_sentencepiece)}
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
