@@ -163,7 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     half = F.pmod(F.xxhash64(F.concat(F.lit("half"), F.col("doc_id").cast("string"))), F.lit(2)).cast("int")
     # The sample is bounded by max_train rows of two numbers.
     texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(some), F.col("_doc") == F.col("doc_id"))
-    sample = common.materialise(texts.select("doc_id", half.alias("half"), "toxic", "text").limit(max_train), "toxicity-sample")
+    # One text for each id that is given more than once; a partial aggregate, so that no task gathers the sample.
+    sample = texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("doc_id", half.alias("half"), "toxic", "text")
+    sample = common.materialise(sample, "toxicity-sample")
     learned = _learn_stems(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
