@@ -85,7 +85,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"{common.numbered_types(docs, 'doc_id')}, key bigint, lo int, hi int, digest binary")
+    return common.map_arrow(rows, run, f"{common.numbered_types(docs, 'doc_id')}, key bigint, lo int, hi int, digest binary")
 
 
 def dedup_chunks(docs: DataFrame) -> DataFrame:

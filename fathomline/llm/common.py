@@ -68,6 +68,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACES + "+")), F.lit(0)).cast("long")
 
 
+#: Rows of an Arrow batch at most: texts are long, and the JVM and Python hold a batch each for every running task.
+BATCH_ROWS = 1000
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of BATCH_ROWS at most; a session that asks for smaller ones keeps them."""
+    now = int(df.sparkSession.conf.get(_ROWS_CONF, "0"))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(_ROWS_CONF, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch, most_bytes: int = 4_000_000):
     """Parts of an Arrow batch of about most_bytes each, one row at least; a batch without rows has none."""
     n = batch.num_rows

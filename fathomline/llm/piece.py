@@ -16,13 +16,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
 
 #: Units and pairs that a worker remembers at most; the tables are emptied when full.
-MEMORY = 300_000
+MEMORY = 200_000
 LONGEST_REMEMBERED = 48
 BLANK = "▁"
 
@@ -214,6 +215,14 @@ def _coder(key: str, model: dict) -> PieceCoder:
     return _coders[key]
 
 
+def _arrow(values: list, kind: str) -> pa.Array:
+    """Values of a column; arrays of numbers without a Python object each."""
+    if kind != "array<int>":
+        return pa.array(values, {"bigint": pa.int64(), "string": pa.string()}[kind])
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
+
+
 def _apply(docs: DataFrame, model_path: str, columns: str, of) -> DataFrame:
     """doc_id and what `of` makes of (ids as text, decoded text), for each row."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))  # as large as the model file
@@ -222,18 +231,18 @@ def _apply(docs: DataFrame, model_path: str, columns: str, of) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(model_path, model.value)
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, 1_000_000):
                 rows = [of(*coder.encode(t or "")) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), columns_types, strict=True))], names=["doc_id", *names])
+                made = [_arrow(list(x), kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], names=["doc_id", *names])
 
-    names = [c.split()[0] for c in columns.split(", ")]
-    columns_types = [{"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[c.split()[1]] for c in columns.split(", ")]
-    return docs.select("doc_id", "text").mapInArrow(run, f"{kind}, {columns}")
+    names, kinds = zip(*(c.split() for c in columns.split(", ")), strict=True)
+    return common.map_arrow(docs.select("doc_id", "text"), run, f"{kind}, {columns}")
 
 
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids (end id included) and decoded for each of docs(doc_id, text)."""
-    return _apply(docs, model_path, "ids array<int>, decoded string", lambda ids, decoded: ([int(i) for i in ids.split(" ")], decoded))
+    return _apply(docs, model_path, "ids array<int>, decoded string", lambda ids, decoded: (np.fromstring(ids, np.int32, sep=" "), decoded))
 
 
 def digest_pieces(docs: DataFrame, model_path: str) -> DataFrame:

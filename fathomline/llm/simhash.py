@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"{common.numbered_types(docs, 'doc_id')}, key bigint, fp {'bigint' if lanes == 1 else 'binary'}")
+    return common.map_arrow(rows, run, f"{common.numbered_types(docs, 'doc_id')}, key bigint, fp {'bigint' if lanes == 1 else 'binary'}")
 
 
 def _division(n: int, radius: int) -> tuple[int, int]:
@@ -196,7 +196,7 @@ def _links(keyed: DataFrame, radius: int) -> DataFrame:
             yield out
 
     spread = units.repartition(common.shuffle_partitions(keyed.sparkSession), *keys).sortWithinPartitions(*keys)
-    return spread.mapInArrow(run, f"u {kind}, v {kind}")
+    return common.map_arrow(spread, run, f"u {kind}, v {kind}")
 
 
 def _grouped(prints: DataFrame, nodes: DataFrame, keyed: DataFrame, radius: int) -> DataFrame:
@@ -250,7 +250,7 @@ def group_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
                 rows = pa.array(np.repeat(np.arange(batch.num_rows), bands))
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(keys.reshape(-1)), batch.column("fp").take(rows)], names=["table", "key", "fp"])
 
-    keyed = nodes.select("fp").mapInArrow(run, "table int, key bigint, fp binary")
+    keyed = common.map_arrow(nodes.select("fp"), run, "table int, key bigint, fp binary")
     return _grouped(prints, nodes, common.materialise(keyed, "simhash-bands"), radius)
 
 

@@ -138,7 +138,7 @@ def _find_runs(docs: DataFrame, length: int) -> DataFrame:
                         names=["doc_id", "key", "gram", "digest", "lo", "at", "hi"],
                     )
 
-    return docs.mapInArrow(run, f"{common.numbered_types(docs, 'doc_id')}, key bigint, gram bigint, digest binary, lo int, at int, hi int")
+    return common.map_arrow(docs, run, f"{common.numbered_types(docs, 'doc_id')}, key bigint, gram bigint, digest binary, lo int, at int, hi int")
 
 
 def _refine(rank: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -248,7 +248,7 @@ def _sort_buckets(bodies: DataFrame, length: int) -> DataFrame:
             yield out
 
     dealt = bodies.repartition(common.shuffle_partitions(bodies.sparkSession), "gram").sortWithinPartitions("gram", "digest")
-    return dealt.select("gram", "digest", "doc_id", "key", "lo", "at", "body", "open").mapInArrow(run, f"{kind}, key bigint, lo int, hi int")
+    return common.map_arrow(dealt.select("gram", "digest", "doc_id", "key", "lo", "at", "body", "open"), run, f"{kind}, key bigint, lo int, hi int")
 
 
 def _strings(bodies: DataFrame, length: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _strings(bodies: DataFrame, length: int) -> DataFrame:
                 lo = batch.column("lo")[i].as_py() + np.arange(n, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(body[k : k + length]) for k in range(n)], pa.binary()), *(batch.column(c).take(one) for c in ("doc_id", "key", "open")), pa.array(lo.astype(np.int32))], names=["string", "doc_id", "key", "open", "lo"])
 
-    return bodies.select("doc_id", "key", "lo", "body", "open").mapInArrow(run, f"string binary, {common.numbered_types(bodies, 'doc_id')}, key bigint, open boolean, lo int")
+    return common.map_arrow(bodies.select("doc_id", "key", "lo", "body", "open"), run, f"string binary, {common.numbered_types(bodies, 'doc_id')}, key bigint, open boolean, lo int")
 
 
 def _cut_bodies(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -334,4 +334,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], names=names)
 
     schema = f"{common.numbered_types(docs, 'doc_id')}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return joined.mapInArrow(run, schema + ", kept_text binary" * with_text)
+    return common.map_arrow(joined, run, schema + ", kept_text binary" * with_text)

@@ -178,4 +178,4 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, with_text: bool
 
     names = ["doc_id", "n_chars", "n_tokens", "n_tokens_edited", "n_recounted", *["edited_text"] * with_text]
     schema = f"{common.numbered_types(docs, 'doc_id')}, n_chars bigint, n_tokens bigint, n_tokens_edited bigint, n_recounted bigint" + ", edited_text string" * with_text
-    return docs.select("doc_id", "text", "edits").mapInArrow(run, schema)
+    return common.map_arrow(docs.select("doc_id", "text", "edits"), run, schema)

@@ -75,7 +75,7 @@ class Reader:
         """Of a token as it stands: 1 if it is in the lexicon; its largest learned weight."""
         w = raw.strip(_EDGE)
         found = (int(w in LEXICON), max((self.learned.get(s, 0.0) for s in stems(w)), default=0.0) if w else 0.0)
-        if len(self.seen) >= 300_000:
+        if len(self.seen) >= 100_000:
             self.seen.clear()
         if len(raw) <= 40:
             self.seen[raw] = found
@@ -128,7 +128,7 @@ def _learn_stems(sample: DataFrame) -> dict[int, dict[str, float]]:
             )
 
     rows = {(r["half"], r["toxic"]): r["n"] for r in sample.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
-    counts = sample.mapInArrow(run, "half int, stem string, hits bigint, misses bigint")
+    counts = common.map_arrow(sample, run, "half int, stem string, hits bigint, misses bigint")
     counts = counts.groupBy("stem").agg(*(F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("hits", "misses")))
     counts = common.materialise(counts.where(f"hits0 + hits1 >= {LEAST_ROWS}"), "toxicity-stems")
     out: dict[int, dict[str, float]] = {}
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
             x = [readers[h].features(t or "") for h, t in zip(halves, batch.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("half"), pa.array(toxic, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["id", "half", "toxic", "x"])
 
-    rows = sample.mapInArrow(run, "id string, half int, toxic int, x array<double>").collect()  # max_train rows at most
+    rows = common.map_arrow(sample, run, "id string, half int, toxic int, x array<double>").collect()  # max_train rows at most
     rows.sort(key=lambda r: (r["id"], r["x"]))
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
     y, halves = (np.array([r[k] for r in rows], dtype=float) for k in ("toxic", "half"))
@@ -196,13 +196,13 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value.learned)
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, 1_000_000):
                 x = np.array([reader.features(t or "") for t in part.column("text").to_pylist()]).reshape(part.num_rows, len(FEATURES))
                 p = np.clip(shared.value.predict(x), 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"{common.numbered_types(docs, 'doc_id')}, held_out boolean, score double, predicted int")
+    return common.map_arrow(rows, run, f"{common.numbered_types(docs, 'doc_id')}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,8 +212,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value.learned)
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, 1_000_000):
                 x = np.array([reader.features(t or "") for t in part.column("text").to_pylist()]).reshape(part.num_rows, len(FEATURES))
                 yield part.filter(pa.array(shared.value.predict(x) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_arrow(docs, run, docs.schema)
