@@ -9,16 +9,15 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PAGES = T.StructType.fromDDL("url string, title string, text string, content_type string, crawled_at string, status int, depth int")
-EDGES = T.StructType.fromDDL("src_url string, dst_url string")
-BENCHMARK = T.StructType.fromDDL("query_id string, query_text string, topic string, judged_subset boolean, demo_candidate boolean")
+PAGES = "url string, title string, text string, content_type string, crawled_at string, status int, depth int"
+EDGES = "src_url string, dst_url string"
+BENCHMARK = "query_id string, query_text string, topic string, judged_subset boolean, demo_candidate boolean"
 
 
 def read_pages(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Pages with status 200 of a file of JSON lines. A malformed line fails, or (not strict) gives a row that has only _corrupt."""
-    schema = PAGES if strict else T.StructType([*PAGES.fields, T.StructField("_corrupt", T.StringType())])
+    schema = PAGES if strict else PAGES + ", _corrupt string"
     reader = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     pages = reader.json(path)
     return pages.where("status = 200") if strict else pages
