@@ -205,6 +205,6 @@ SELECT engine, row_number() OVER (PARTITION BY engine ORDER BY page_id) AS rank,
     "crawl_stats": f"WITH {b.EDGES} SELECT (SELECT count(*) FROM pages) AS total_pages, (SELECT count(*) FROM pe) AS total_edges",
     "bfs_levels": f"WITH {b.EDGES}, l0 AS (SELECT id FROM pn WHERE id IN (1, 2)), l1 AS ({_LEVEL.format(0, 'SELECT id FROM l0')}), l2 AS ({_LEVEL.format(1, 'SELECT id FROM l0 UNION SELECT id FROM l1')}), l3 AS ({_LEVEL.format(2, 'SELECT id FROM l0 UNION SELECT id FROM l1 UNION SELECT id FROM l2')}) "
     + " UNION ALL ".join(f"SELECT id, {k} AS depth FROM l{k}" for k in range(4)),
-    "fetch_rules": "SELECT page_id, 'text/html' AS content_type, octet_length(html::BLOB) <= 0.02 * 1000000 AS accepted FROM pages",
+    "fetch_rules": "SELECT page_id, 'text/html' AS content_type, strlen(html) <= 0.02 * 1000000 AS accepted FROM pages",
     "robots_rules": "SELECT page_id, NOT regexp_matches(url, '^[a-z]+://[^/]+/en/') AS allowed FROM pages",
 }
