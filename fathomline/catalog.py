@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import expansion, pages, search
+from .queries import clusters, expansion, pages, search
 
-_MODULES = (search, pages, expansion)
+_MODULES = (search, pages, expansion, clusters)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
