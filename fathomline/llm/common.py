@@ -93,18 +93,23 @@ def keep_one(docs: DataFrame, verdicts: DataFrame, key: Column) -> DataFrame:
     """The rows of docs that verdicts(doc_id, key, kept, repeats) keeps, with all their columns: one for each doc_id and key that is
     kept. verdicts has a row for each pair that docs has, is a written table, and says how many rows of docs share the pair; key
     is computed over docs."""
-    marked = docs.withColumn("_own_key", key)
+    marked = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").alias("_id"), key.alias("_own_key"))
     pairs = verdicts.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "kept", "repeats")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own_key") == F.col("_key"))
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_own_key") == F.col("_key"))
     # What goes is mostly less than what stays, and may be small enough for Spark to broadcast.
-    once = marked.join(pairs.where(~F.col("kept") | (F.col("repeats") > 1)).select("_doc", "_key"), same, "left_anti").select(*docs.columns)
+    once = marked.join(pairs.where(~F.col("kept") | (F.col("repeats") > 1)).select("_doc", "_key"), same, "left_anti").select("_row.*")
     again = pairs.where(F.col("kept") & (F.col("repeats") > 1)).select("_doc", "_key")
     if again.isEmpty():
         return once
-    rows = marked.join(again, same, "left_semi").groupBy("doc_id", "_own_key").agg(F.max(F.struct(*docs.columns)).alias("_row"))
+    rows = marked.join(again, same, "left_semi").groupBy("_id", "_own_key").agg(F.max("_row").alias("_row"))
     return once.unionByName(rows.select("_row.*"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs as one, so that their names meet no others."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
+
+
 def numbered_types(df: DataFrame, *names: str) -> str:
     """DDL of the named columns, in order."""
     kinds = dict(df.dtypes)

@@ -82,11 +82,12 @@ def emit_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP,
     Rows that agree in doc_id, source and text are told apart by nothing that matters: their copies are added up and dealt
     out again among them."""
     keys = ["doc_id", "source", "text_key"]
-    copies = mix(docs, weights, cap, seed).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    copies = copies.select(*(F.col(k).alias(f"_{k}") for k in keys), "_copies", "_rows")
-    marked = docs.withColumn("_own_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own_key") == F.col("_text_key"))
+    copies = mix(docs, weights, cap, seed).groupBy(*keys).agg(F.sum("copies").cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    copies = copies.select(*(F.col(k).alias(f"_{k}") for k in keys), "_times", "_rows")
+    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_own_key")
+    marked = docs.select(common.whole_row(docs).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_from"), text_key)
+    same = F.col("_id").eqNullSafe(F.col("_doc_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_own_key") == F.col("_text_key"))
     joined = marked.join(copies, same)
-    single = joined.where("_rows = 1").select(*docs.columns, F.col("_copies").cast("int").alias("_times"))
-    several = joined.where("_rows > 1").groupBy("_doc_id", "_source", "_text_key").agg(F.max(F.struct(*docs.columns)).alias("_row"), F.max("_copies").cast("int").alias("_times")).select("_row.*", "_times")
-    return single.unionByName(several).where("_times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    single = joined.where("_rows = 1").select("_row", "_times")
+    several = joined.where("_rows > 1").groupBy("_doc_id", "_source", "_text_key").agg(F.max("_row").alias("_row"), F.max("_times").alias("_times")).select("_row", "_times")
+    return single.unionByName(several).where("_times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
