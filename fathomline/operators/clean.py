@@ -68,17 +68,22 @@ def keep_first(rows: DataFrame, order: str, url: str = "normalized_url", text_ha
             break
     grouped = rows.select(F.col(order).alias("row"), F.col(url).alias("u"), F.col(text_hash).alias("t")).join(labels, "row")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen_urls, seen_texts, out = set(), set(), []
-        for row, u, t in pdf.sort_values("row")[["row", "u", "t"]].itertuples(index=False):
-            why = "url" if u in seen_urls else "text" if t in seen_texts else None
-            if why is None:
-                seen_urls.add(u)
-                seen_texts.add(t)
-            out.append((row, why))
-        return pd.DataFrame(out, columns=["row", "duplicate"])
-
-    folded = grouped.groupBy("label").applyInPandas(fold, f"row {dict(rows.dtypes)[order]}, duplicate string")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, seen_urls, seen_texts = object(), set(), set()
+        for pdf in batches:
+            out = []
+            for label, row, u, t in pdf[["label", "row", "u", "t"]].itertuples(index=False):
+                if label != group:
+                    group, seen_urls, seen_texts = label, set(), set()
+                why = "url" if u in seen_urls else "text" if t in seen_texts else None
+                if why is None:
+                    seen_urls.add(u)
+                    seen_texts.add(t)
+                out.append((row, why))
+            yield pd.DataFrame(out, columns=["row", "duplicate"])
+
+    # A group goes by in order, a batch at a time; its task holds the keys that were kept.
+    folded = grouped.repartition("label").sortWithinPartitions("label", "row").mapInPandas(fold, f"row {dict(rows.dtypes)[order]}, duplicate string")
     return rows.join(folded.withColumnRenamed("row", order), order, "left").withColumn("kept", F.col("duplicate").isNull())
 
 

@@ -29,18 +29,22 @@ def crawl_plan(edges: DataFrame, seeds: DataFrame, most_depth: int = MOST_DEPTH,
 def polite(requests: DataFrame, delay: float = DELAY) -> DataFrame:
     """requests(host, event_id, ts) with `accepted`: at least `delay` seconds after the host's last accepted one; others are deferred.
 
-    Each acceptance depends on the one before it, so that a host's requests are folded in order, in Arrow batches of one host."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        last, out = None, []
-        for t in pdf["ts"]:
-            ok = last is None or (t - last).total_seconds() >= delay
-            last = t if ok else last
-            out.append(ok)
-        return pdf.assign(accepted=out)[["host", "event_id", "accepted"]]
-
-    return requests.groupBy("host").applyInPandas(fold, f"host {dict(requests.dtypes)['host']}, event_id long, accepted boolean")
+    Each acceptance depends on the one before it, so that a host's requests go by in order, in one task; it holds a batch of them at a time."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, last = object(), None
+        for pdf in batches:
+            out = []
+            for h, t in zip(pdf["host"], pdf["ts"], strict=True):
+                if h != host:
+                    host, last = h, None
+                ok = last is None or (t - last).total_seconds() >= delay
+                last = t if ok else last
+                out.append(ok)
+            yield pdf[["host", "event_id"]].assign(accepted=out)
+
+    ordered = requests.select("host", "event_id", "ts").repartition("host").sortWithinPartitions("host", "ts", "event_id")
+    return ordered.mapInPandas(fold, f"host {dict(requests.dtypes)['host']}, event_id long, accepted boolean")
 
 
 class Frontier(StatefulProcessor):
