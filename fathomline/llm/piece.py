@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Units and pairs that a worker remembers at most; the tables are emptied when full.
-MEMORY = 200_000
+MEMORY = 300_000
 LONGEST_REMEMBERED = 48
 BLANK = "▁"
 
