@@ -40,6 +40,8 @@ STRETCH, PLACE_BITS = 8_000_000, 24
 #: Bytes that are sorted at once, unless one bucket has more; different runs of a bucket that are sorted at most.
 BLOCK, CROWD = 3_000_000, 8192
 PERIOD = 64
+#: Share of the repeated runs' rows from which a run is joined by broadcast.
+HOT_SHARE = 1 / 1024
 
 
 def difference_cover(period: int) -> list[int]:
@@ -296,8 +298,14 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("string").alias("_string"))
         twice = common.materialise(twice, "suffix-twice")
         found.append(strings.where("open").join(twice, F.col("string") == F.col("_string")).select("doc_id", "key", "lo", (F.col("lo") + length).alias("hi")))
-    again = common.materialise(kinds.where("n > 1").select(F.col("gram").alias("_gram"), F.col("digest").alias("_digest")), "suffix-again")
-    found.append(runs.join(again, (F.col("gram") == F.col("_gram")) & (F.col("digest") == F.col("_digest"))).select("doc_id", "key", "lo", "hi"))
+    pair = (F.col("gram") == F.col("_gram")) & (F.col("digest") == F.col("_digest"))
+    again = common.materialise(kinds.where("n > 1").select(F.col("gram").alias("_gram"), F.col("digest").alias("_digest"), "n"), "suffix-again")
+    total = again.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    # A run that holds this share of the rows is broadcast, no more than 1 / HOT_SHARE of them; the others meet in a sort-merge join.
+    hot = F.broadcast(again.where(F.col("n") > total * HOT_SHARE).drop("n"))
+    found.append(runs.join(hot, pair, "left_semi").select("doc_id", "key", "lo", "hi"))
+    few = again.where(F.col("n") <= total * HOT_SHARE).drop("n").hint("merge")
+    found.append(runs.join(hot, pair, "left_anti").join(few, pair).select("doc_id", "key", "lo", "hi"))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
