@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: A chunk's least and greatest bytes, and how many top bits of the hash are zero where one ends.
-LEAST, MOST, ZERO_BITS = 48, 256, 5
+LEAST, MOST, ZERO_BITS = 32, 192, 5
 DIGEST_BYTES = 16
 
 
