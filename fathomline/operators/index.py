@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..shared import materialise
 
 
 @dataclass
@@ -66,12 +67,13 @@ def page_meta(pages: DataFrame) -> DataFrame:
 
 
 def build_index(pages: DataFrame, stemmer: str = "none") -> Index:
-    postings = term_counts(pages, stemmer)
-    terms = document_frequency(postings)
-    stats = corpus_stats(pages, postings)
+    """The tables of an index, each written once to the shared folder: texts are cut into terms once, whatever is asked of the index."""
+    postings = materialise(term_counts(pages, stemmer), "postings")
+    terms = materialise(document_frequency(postings), "terms")
+    stats = materialise(corpus_stats(pages, postings), "stats")
     norms = document_norms(postings, terms, stats)
     docs = page_meta(pages).join(norms, "doc_id", "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0))).withColumn("tfidf_norm", F.coalesce("tfidf_norm", F.lit(0.0)))
-    return Index(postings, terms, docs, stats)
+    return Index(postings, terms, materialise(docs, "docs"), stats)
 
 
 def document_vector(index: Index, doc_ids: DataFrame) -> DataFrame:

@@ -39,14 +39,8 @@ class SearchEngine:
     @classmethod
     def build(cls, pages: DataFrame, nodes: DataFrame, edges: DataFrame, stemmer: str = "porter", rounds: int = graph.ROUNDS) -> SearchEngine:
         """Index and ranks, each written once to the shared folder."""
-        built = index.build_index(pages, stemmer)
-        postings = materialise(built.postings, "engine-postings")
-        terms = materialise(index.document_frequency(postings), "engine-terms")
-        stats = materialise(index.corpus_stats(pages, postings), "engine-stats")
-        norms = index.document_norms(postings, terms, stats)
-        docs = index.page_meta(pages).join(norms, "doc_id", "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0))).withColumn("tfidf_norm", F.coalesce("tfidf_norm", F.lit(0.0)))
         edges = materialise(edges, "engine-edges")
-        return cls(index.Index(postings, terms, materialise(docs, "engine-docs"), stats), nodes, edges, graph.pagerank(nodes, edges, rounds=rounds), stemmer)
+        return cls(index.build_index(pages, stemmer), nodes, edges, graph.pagerank(nodes, edges, rounds=rounds), stemmer)
 
     def save(self, path: str) -> None:
         store.save_index(self.index, f"{path}/index")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import expand, index, rank
-from ..plans import engine
+from ..plans import engine, reports
 from ..shared import materialise
 from . import base as b
 
@@ -68,13 +68,25 @@ def pseudo_feedback(spark, sf):
 
 
 def association_table(spark, sf):
-    """The best twelve neighbours of each query term, with a word for how strong they are: what reports show."""
+    """The twelve closest neighbours of each query term, with a word for how strong they are: what reports show."""
     i, terms, local = _parts(spark, sf)
-    raw = expand.association(expand.local_tf(i, local), terms)
-    from pyspark.sql import Window
+    return reports.closest(expand.association(expand.local_tf(i, local), terms))
+
+
+def scalar_table(spark, sf):
+    i, terms, local = _parts(spark, sf)
+    return reports.closest(expand.scalar(expand.local_tf(i, local), terms))
+
 
-    n = F.row_number().over(Window.partitionBy("query_id", "u").orderBy(F.desc("raw"), "v"))
-    return raw.withColumn("rank", n).where("rank <= 12").select("query_id", "u", "rank", "v", "raw", expand.metric_strength(F.col("raw")).alias("strength"))
+def metric_table(spark, sf):
+    i, terms, local = _parts(spark, sf)
+    return reports.closest(expand.metric(i.docs, local, terms))
+
+
+def expansion_evaluation(spark, sf):
+    """For each expansion, how many of a query's first ten results stay and how many are new."""
+    e = engine.SearchEngine.build(b.corpus(spark, sf), *b.doc_graph(spark, sf), stemmer="none", rounds=b.ROUNDS)
+    return reports.before_and_after(e, b.queries_of(spark, sf), ("association", "metric"))
 
 
 def neighbours_wanted(spark, sf):
@@ -105,7 +117,7 @@ def expand_and_search(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    candidate_terms, local_term_counts, assoc_terms, assoc_normalized, scalar_terms, metric_terms, rocchio_terms, pseudo_feedback, association_table, neighbours_wanted, autocorrect_vocabulary, spell_correct,
+    candidate_terms, local_term_counts, assoc_terms, assoc_normalized, scalar_terms, metric_terms, rocchio_terms, pseudo_feedback, association_table, scalar_table, metric_table, expansion_evaluation, neighbours_wanted, autocorrect_vocabulary, spell_correct,
     new_terms, expand_and_search,
 )}
 
@@ -135,6 +147,11 @@ def _expansion(raw: str) -> str:
     )
 
 
+def _closest(raw: str) -> str:
+    words = "CASE WHEN r > 5 THEN 'very strong' WHEN r > 2 THEN 'strong' WHEN r > 1 THEN 'moderate' ELSE 'weak' END"
+    return f"WITH {b.CTE}, {b.TFIDF}, {_CAND}, {_LOCAL}, c AS (SELECT query_id, u, v, round(raw, 6) AS r, row_number() OVER (PARTITION BY query_id, u ORDER BY round(raw, 9) DESC, v) AS rank FROM {raw} QUALIFY rank <= {reports.SHOWN}) SELECT query_id, u, rank, v, r AS raw, {words} AS strength FROM c"
+
+
 _FEEDBACK = f"fb AS (SELECT query_id, doc_id, rank <= 2 AS relevant FROM ({b.top('tfidf', 3)}))"
 
 ORACLE_SQL = {
@@ -151,7 +168,9 @@ mv AS (SELECT query_id, term, (CASE WHEN relevant THEN 0.75 ELSE -0.25 END)::DOU
   UNION ALL SELECT query_id, term, qtf::DOUBLE FROM qt),
 sm AS (SELECT query_id, term, sum(w) AS score FROM mv GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, term) AS rank, term, round(score, 6) AS score FROM sm JOIN cand USING (query_id, term) WHERE score > 0 QUALIFY rank <= 5""",
-    "association_table": f"WITH {b.CTE}, {b.TFIDF}, {_CAND}, {_LOCAL} SELECT query_id, u, row_number() OVER (PARTITION BY query_id, u ORDER BY raw DESC, v) AS rank, v, raw, CASE WHEN raw > 5 THEN 'very strong' WHEN raw > 2 THEN 'strong' WHEN raw > 1 THEN 'moderate' ELSE 'weak' END AS strength FROM ass QUALIFY rank <= 12",
+    "association_table": _closest("ass"),
+    "scalar_table": _closest("sca"),
+    "metric_table": _closest("met"),
     "neighbours_wanted": f"WITH {b.CTE} SELECT query_id, CASE WHEN len(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '')) <= 3 THEN 2 ELSE 6 END AS m FROM q0",
     "autocorrect_vocabulary": f"WITH {b.CTE} SELECT term FROM terms WHERE regexp_full_match(term, '[a-z]{{3,24}}') AND df >= 5",
     "new_terms": f"WITH {b.CTE} SELECT query_id, array_to_string(list_filter(['lava', 'rock'], lambda x: NOT list_contains(regexp_split_to_array(lower(query), '\\s+'), x)), ' ') AS added FROM q0",

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import rank
-from fathomline.plans import clusters, engine, experiment, service
+from fathomline.plans import clusters, engine, experiment, reports, service
+from fathomline.sources import files
 from fathomline.streaming import crawl
 
 TOPICS = {"volcano": "lava magma eruption crater volcano ash cone the and earth", "quake": "fault seismic wave earthquake rupture plate the and earth", "fossil": "bone shell fossil dinosaur layer amber the and earth"}
@@ -49,6 +50,30 @@ def test_engine(spark, topics, tmp_path):
     assert "volcano" in e.display("volcanoes", ["lava"])
 
 
+def test_reports(spark, topics, tmp_path):
+    e = engine.SearchEngine.build(*topics)
+    asked = queries(spark, "volcano lava", "nothing known")
+    for method in reports.METHODS:
+        whole = files.write_reports(tmp_path / method, reports.report_sections(e, asked, method))
+        assert "Query: volcano lava" in whole.read_text() and "No local documents" in whole.read_text()
+    rows = reports.before_and_after(e, asked, ("association",), "bm25", 5).collect()
+    assert rows and all(r["kept"] + r["new"] <= 5 for r in rows)
+
+
+def test_command_line(spark, topics, tmp_path, capsys):
+    from fathomline.__main__ import main
+
+    topics[0].drop("doc_id").withColumn("crawled_at", F.lit("x")).coalesce(1).write.json(f"{tmp_path}/pages")
+    urls = topics[0].select("doc_id", "url")
+    links = topics[2].join(urls.withColumnRenamed("doc_id", "src").withColumnRenamed("url", "src_url"), "src").join(urls.withColumnRenamed("doc_id", "dst").withColumnRenamed("url", "dst_url"), "dst")
+    links.select("src_url", "dst_url").write.option("header", True).csv(f"{tmp_path}/edges")
+    main(["build", "--pages", f"{tmp_path}/pages", "--edges", f"{tmp_path}/edges", "--out", f"{tmp_path}/out"])
+    main(["search", "--index", f"{tmp_path}/out", "--method", "tfidf_pagerank", "-k", "2", "volcano", "lava"])
+    main(["search", "--index", f"{tmp_path}/out", "--expand", "association", "--method", "bm25", "fossil"])
+    printed = capsys.readouterr().out
+    assert "https://volcano" in printed and "https://fossil" in printed
+
+
 def test_build_and_experiment(spark, topics, tmp_path):
     config = clusters.Config(min_df=1, max_df=0.95, max_features=256, components=8, sample_cap=18, domain_cap=6, flat_k=(3, 4, 5), merged_k=(3, 4), mini_clusters=6)
     built = clusters.build(topics[0], "b1", config)
