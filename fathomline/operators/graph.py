@@ -51,25 +51,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
     """id, score: uniform start and teleport, dangling mass spread over all nodes; ends after `rounds`, or once scores move by less than the
     tolerance in all (None: never before).
 
-    A round sends shares along edges that are kept with their source's degree, so it costs a join and an aggregate; dangling mass and
-    change are sums that go to the driver as numbers. Each round's scores are written to the shared folder."""
-    nodes = materialise(nodes.select("id").distinct(), "pr-nodes")
-    n = nodes.count()
-    if not n:
-        return nodes.withColumn("score", F.lit(0.0))
+    A round sends shares along edges that are kept with their source's degree, so it costs a join and an aggregate, written to the shared
+    folder; the dangling mass and the change are sums over what was written, and go to the driver as two numbers."""
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    sink = nodes.select("id").distinct().join(degree.select(F.col("src").alias("id"), F.lit(False).alias("sink")), "id", "left").select("id", F.coalesce("sink", F.lit(True)).alias("sink"))
+    nodes = materialise(sink, "pr-nodes")
+    n, sinks = nodes.agg(F.count(F.lit(1)), F.count_if("sink")).first()
+    if not n:
+        return nodes.select("id", F.lit(0.0).alias("score"))
     shares = materialise(edges.join(degree, "src").select("src", "dst", "degree"), "pr-shares")
-    sinks = materialise(nodes.join(edges.select(F.col("src").alias("id")), "id", "left_anti"), "pr-sinks")
-    scores = nodes.withColumn("score", F.lit(1.0 / n))
+    scores, lost = nodes.withColumn("score", F.lit(1.0 / n)), sinks / n
     for _ in range(rounds):
-        lost = scores.join(sinks, "id").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()["s"]
-        sent = shares.join(scores, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
+        sent = shares.join(scores, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
         new = damping * (F.coalesce("got", F.lit(0.0)) + lost / n) + (1 - damping) / n
-        both = materialise(scores.join(sent, "id", "left").select("id", F.col("score").alias("was"), new.alias("score")), "pr-scores")
-        scores = both.select("id", "score")
-        if tolerance is not None and both.agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("d")).first()["d"] < tolerance:
+        both = materialise(scores.join(sent, F.col("id") == F.col("to"), "left").select("id", "sink", F.col("score").alias("was"), new.alias("score")), "pr-scores")
+        scores = both.select("id", "sink", "score")
+        moved, lost = both.agg(F.sum(F.abs(F.col("score") - F.col("was"))), F.coalesce(F.sum(F.when(F.col("sink"), F.col("score"))), F.lit(0.0))).first()
+        if tolerance is not None and moved < tolerance:
             break
-    return scores
+    return scores.select("id", "score")
 
 
 def root_set(postings: DataFrame, terms: DataFrame, most: int = ROOT_SIZE) -> DataFrame:

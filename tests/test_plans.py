@@ -30,7 +30,7 @@ def queries(spark, *texts):
 
 
 def test_engine(spark, topics, tmp_path):
-    e = engine.SearchEngine.build(*topics)
+    e = engine.SearchEngine.build(*topics, rounds=5)
     e.save(f"{tmp_path}/e")
     e = engine.SearchEngine.load(spark, f"{tmp_path}/e")
     asked = queries(spark, "volcano lava", "seismic faults")
@@ -51,7 +51,7 @@ def test_engine(spark, topics, tmp_path):
 
 
 def test_reports(spark, topics, tmp_path):
-    e = engine.SearchEngine.build(*topics)
+    e = engine.SearchEngine.build(*topics, rounds=5)
     asked = queries(spark, "volcano lava", "nothing known")
     for method in reports.METHODS:
         whole = files.write_reports(tmp_path / method, reports.report_sections(e, asked, method))
@@ -87,7 +87,7 @@ def test_build_and_experiment(spark, topics, tmp_path):
         assert sum(r["size"] for r in catalog.collect()) == 18
     with pytest.raises(ValueError):
         built.of("none")
-    e = engine.SearchEngine.build(*topics)
+    e = engine.SearchEngine.build(*topics, rounds=5)
     asked = queries(spark, "volcano lava geology", "fossil bone")
     hits = e.rank(e.terms(asked), "bm25", 6)
     vectors = built.projection.transform(asked.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))).withColumnRenamed("doc_id", "query_id")
@@ -154,6 +154,6 @@ def test_sessions(spark):
 
 
 def test_ranked_rows_have_a_total_order(spark, topics):
-    e = engine.SearchEngine.build(*topics)
+    e = engine.SearchEngine.build(*topics, rounds=5)
     rows = rank.rank_bm25(e.index, e.terms(queries(spark, "earth")), 18).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
