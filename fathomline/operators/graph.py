@@ -112,14 +112,20 @@ def hits_scores(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, rounds: int =
 
 
 def hits(base: DataFrame, edges: DataFrame, rounds: int = HITS_ROUNDS, tolerance: float | None = TOLERANCE) -> DataFrame:
-    """query_id, doc_id, authority, hub. A query's base set has at most 200 * 101 nodes, so that one task holds it."""
-    rows = base.select("query_id", F.col("doc_id").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(induced_edges(base, edges).select("query_id", "src", "dst"))
+    """query_id, doc_id, authority, hub. A query's base set has at most 200 * 101 nodes, so that one task holds it.
+
+    Queries share most of a small graph: each node of a base set takes its list of targets along as one array, and the task drops those
+    outside the set. Joining edges with base sets on both ends would make a row for each query and edge."""
+    lists = edges.groupBy("src").agg(F.collect_list("dst").alias("out"))  # a page's links
+    rows = base.select("query_id", "doc_id").join(lists, F.col("doc_id") == F.col("src"), "left").select("query_id", "doc_id", "out")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        alone = pdf["dst"].isna()
-        ids = np.sort(pdf.loc[alone, "src"].to_numpy(np.int64))
-        ends = pdf.loc[~alone]
-        auth, hub = hits_scores(ids, ends["src"].to_numpy(np.int64), ends["dst"].to_numpy(np.int64), rounds, tolerance)
+        pdf = pdf.sort_values("doc_id")
+        ids = pdf["doc_id"].to_numpy(np.int64)
+        lists = [np.asarray(x, np.int64) if x is not None else np.zeros(0, np.int64) for x in pdf["out"]]
+        src, dst = np.repeat(ids, [len(x) for x in lists]), np.concatenate(lists)
+        inside = ids[np.minimum(np.searchsorted(ids, dst), len(ids) - 1)] == dst
+        auth, hub = hits_scores(ids, src[inside], dst[inside], rounds, tolerance)
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "doc_id": ids, "authority": auth, "hub": hub})
 
     return rows.groupBy("query_id").applyInPandas(run, f"query_id {dict(base.dtypes)['query_id']}, doc_id long, authority double, hub double")
