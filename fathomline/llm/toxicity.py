@@ -48,8 +48,8 @@ NEAR = 5
 FEATURES = ("lexicon_share", "lexicon_count", "lexicon_first_places", "learned_share", "learned_count", "learned_weight", "learned_top", "near_second", "second_share", "caps_share", "caps_words", "marks_share", "bangs_share", "symbols_share", "digits_share", "obfuscated_share", "obfuscated_hits", "log_words", "log_bytes", "word_length", "distinct_share", "lines_share", "high_bytes")
 
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¿¡«»„“”‘’…"
-#: Tried at the beginning of a run of letters only, and without going back: linear for runs of any length.
-_MIXED = re.compile(rb"(?<![A-Za-z])[A-Za-z]++(?:[0-9@$!*|._-]++[A-Za-z]++)+")
+#: Tried at the beginning of a run of letters only, so that long runs take linear time.
+_MIXED = re.compile(rb"(?<![A-Za-z])[A-Za-z]+(?:[0-9@$!*|._-]+[A-Za-z]+)+")
 _CAPS, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _MARKS = b"!\"'(),-./:;?"
 _SYMBOLS = b"#$%&*+<=>@[\\]^_`{|}~"
