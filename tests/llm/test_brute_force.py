@@ -336,6 +336,32 @@ def test_similar_texts_meet(spark):
     assert kept == set(got.values())
 
 
+def near_pairs(rng: random.Random, n: int, low: float, high: float, size: int) -> list[tuple[str, str]]:
+    """Pairs of texts of so many words whose 5-word shingles have a Jaccard similarity of low or more and under high."""
+    out = []
+    while len(out) < n:
+        w = words(rng, size).split()
+        edited = list(w)
+        for k in rng.sample(range(size), max(1, round(size * rng.uniform(0.02, 0.05)))):
+            edited[k] = "changed"
+        a, b = (set(zip(*(x[k:] for k in range(5)))) for x in (w, edited))
+        if low <= len(a & b) / len(a | b) < high:
+            out.append((" ".join(w), " ".join(edited)))
+    return out
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_all_pairs_at_the_similarity_meet(spark, monkeypatch, parts):
+    if parts:
+        monkeypatch.setattr(simhash, "PART_SHINGLES", 200)
+        monkeypatch.setattr(simhash, "CROWD", 20)
+    rng = random.Random(14)
+    pairs = near_pairs(rng, 150, 0.8, 0.82, 250) + near_pairs(rng, 50, 0.8, 0.85, 60)
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.group_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 # -- 8
 
 
