@@ -362,6 +362,20 @@ def test_all_pairs_at_the_similarity_meet(spark, monkeypatch, parts):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_no_pair_below_the_similarity_is_linked(spark):
+    rng = random.Random(15)
+    pairs = near_pairs(rng, 150, 0.68, 0.8, 250) + near_pairs(rng, 100, 0.8, 0.9, 250)
+    for _ in range(50):  # 8 words, the last one changed: 0.6
+        w = words(rng, 7)
+        pairs.append((f"{w} one", f"{w} two"))
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    grams = {i: set(zip(*(t.lower().split()[k:] for k in range(5)))) for i, t in rows}
+    ids = sorted(grams)
+    want = groups_of(ids, [(a, b) for a in ids for b in ids if a < b and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8])
+    kept = simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == set(want.values())
+
+
 # -- 8
 
 
