@@ -229,14 +229,15 @@ def drill_down(reranked: DataFrame, cluster_id: int) -> DataFrame:
     return reranked.where(F.col("cluster_id") == cluster_id)
 
 
-def fit_flat(sample: DataFrame, vectors: DataFrame, candidates=CANDIDATES, seed: int = SEED) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """Assignments, unit centers and the scores of each k. The sample is bounded by its caps and scored on the driver."""
+def fit_flat(sample: DataFrame, vectors: DataFrame, candidates=CANDIDATES, seed: int = SEED, fitted_on: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """Assignments, unit centers and the scores of each k. The sample is bounded by its caps and scored on the driver; centers are
+    fitted on fitted_on, or else on the sample."""
     x = _collect(sample)
     scores, fitted = [], {}
     for k in candidates:
         if k >= len(x):
             continue
-        centers = fit_kmeans(sample, k, seed)
+        centers = fit_kmeans(sample if fitted_on is None else fitted_on, k, seed)
         labels = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1) if len(x) * k < 2_000_000 else np.concatenate([((p[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1) for p in np.array_split(x, 64)])
         inertia = float(((x - centers[labels]) ** 2).sum())
         scores.append({"method": "flat", "k": k, "silhouette": round(silhouette(x, labels), 4), "davies_bouldin": round(davies_bouldin(x, labels), 4), "inertia": round(inertia, 4)})

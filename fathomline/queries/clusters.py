@@ -129,9 +129,12 @@ def best_k(spark, sf):
 
 
 def kmeans_flat(spark, sf):
-    """k-means over the embeddings: k of the best silhouette, and each vector's cluster."""
+    """k-means over all embeddings: k of the best silhouette, and each vector's cluster. Only the silhouette is of a sample, the 2,000
+    vectors with the smallest hash of their id. Vectors are dealt by id, so that the layout of files doesn't matter."""
     v = materialise(_vectors(spark, sf).drop("cluster_id"), "kmeans-vectors")
-    labelled, _, _ = cluster.fit_flat(v.limit(2000), v, (8, 12))
+    dealt = v.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "vec")
+    sample = materialise(v.orderBy(F.xxhash64("doc_id"), "doc_id", "vec").limit(2000), "kmeans-sample")
+    labelled, _, _ = cluster.fit_flat(sample, v, fitted_on=dealt)
     return labelled.select("doc_id", "cluster_id")
 
 

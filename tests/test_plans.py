@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathomline import catalog
 from fathomline.operators import rank
 from fathomline.plans import clusters, engine, experiment, reports, service
 from fathomline.sources import files
@@ -157,3 +159,14 @@ def test_ranked_rows_have_a_total_order(spark, topics):
     e = engine.SearchEngine.build(*topics, rounds=5)
     rows = rank.rank_bm25(e.index, e.terms(queries(spark, "earth")), 18).orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_flat_clusters_are_of_all_vectors(spark, tmp_path):
+    """Twenty clusters, stored one after the other: the first rows show only some, and in the reverse order others."""
+    rng = np.random.default_rng(3)
+    rows = [(150 * c + i, [float(x) for x in np.eye(20)[c] + rng.normal(0, 0.02, 20)], c) for c in range(20) for i in range(150)]
+    got = []
+    for name, part in (("up", rows), ("down", rows[::-1])):
+        spark.createDataFrame(part, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        got.append({r["doc_id"]: r["cluster_id"] for r in catalog.QUERIES["kmeans_flat"](spark, f"{tmp_path}/{name}").collect()})
+    assert got[0] == got[1] and len(got[0]) == 3000 and len(set(got[0].values())) >= 16
