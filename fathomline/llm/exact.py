@@ -14,6 +14,7 @@ Defined results:
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +30,43 @@ def digest_of(text: Column) -> Column:
 
 
 class DigestIndex:
-    """The digests of all texts seen so far, with the id that stays for each and the batch that brought it."""
+    """The digests of all texts seen so far, with the id that stays for each and the batch that brought it.
+
+    The folder says itself how it is bucketed, in a file that Spark's readers pass over; a session that opens it later takes
+    the number from there, whatever its own settings. A folder that holds data but no such file is refused."""
+
+    ABOUT = "_digest_index"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, id_type: str = "bigint") -> None:
         self.spark = spark
+        self.buckets, own_type = self._described(path, buckets, id_type)
+        if own_type != id_type:
+            raise ValueError(f"the index at {path} holds ids of type {own_type}, not {id_type}")
         self.table = "digest_index_" + hashlib.md5(path.encode()).hexdigest()
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id {id_type}, group_size BIGINT, batch STRING) "
-            f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
+        listed = spark.sql(f"DESCRIBE EXTENDED {self.table}").where("col_name = 'Num Buckets'").first()
+        if int(listed["data_type"]) != self.buckets:
+            raise ValueError(f"the catalog has {self.table} with {listed['data_type']} buckets, the index at {path} has {self.buckets}")
+        spark.catalog.refreshTable(self.table)  # another session may have appended
+
+    def _described(self, path: str, buckets: int, id_type: str) -> tuple[int, str]:
+        """Bucket count and id type of the index at path; a new one is given those that are asked for."""
+        files, folder = common.hadoop_path(self.spark.sparkContext, path)
+        _, about = common.hadoop_path(self.spark.sparkContext, f"{path}/{self.ABOUT}")
+        if files.exists(about):
+            stream = files.open(about)
+            found = json.loads(bytes(stream.readAllBytes()))
+            stream.close()
+            return found["buckets"], found["id_type"]
+        if files.exists(folder) and len(files.listStatus(folder)):
+            raise ValueError(f"{path} holds data but no description of its buckets")
+        out = files.create(about, False)
+        out.write(json.dumps({"buckets": buckets, "id_type": id_type}).encode())
+        out.close()
+        return buckets, id_type
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -75,7 +104,10 @@ def dedup_exact(docs: DataFrame, index_path: str | None = None, batch: str = "fi
     """Verdicts for docs(doc_id, text) against the index at index_path, or against a new one."""
     spark = docs.sparkSession
     path = index_path or common.scratch_path(spark, "exact-index")
-    return DigestIndex(spark, path, common.shuffle_partitions(spark), dict(docs.dtypes)["doc_id"]).dedup(docs, batch)
+    index = DigestIndex(spark, path, common.shuffle_partitions(spark), dict(docs.dtypes)["doc_id"])
+    if index_path is None:
+        common.scratch_table(index.table)
+    return index.dedup(docs, batch)
 
 
 def drop_exact(docs: DataFrame, index_path: str | None = None, batch: str = "first") -> DataFrame:
