@@ -7,6 +7,8 @@ cuts meet, counts those pre-tokens, and updates the sums above the touched leave
 Defined results: null text counts as empty and has 0 tokens; null edits count as none; an edit's start and stop are clipped to the
 text as it then is (a null bound is its end, a null text nothing); edits apply one after the other, in their order; texts are
 taken whole, of any length; repeated rows give repeated results, an empty table an empty one; other columns are never looked at.
+A pattern may look ahead of a pre-token through white space and three characters more, as those of public byte-level tokenizers
+do; one that looks behind is refused.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from .piece import Memo
 
 #: Pre-tokens of a leaf, and how many times that a leaf may grow to before the tree is built anew.
 LEAF, OVERGROWN = 32, 8
-#: Characters before an edit that may still decide how a pre-token ends: what the pattern looks ahead, and one.
+#: Characters before an edit, and before white space in front of them, that may still decide how a pre-token ends: what the pattern
+#: looks ahead, and one.
 LOOK_AHEAD = 4
 
 
@@ -35,6 +38,8 @@ class Counter:
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         whole = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=table, special_tokens={})
+        if "(?<=" in pattern or "(?<!" in pattern:
+            raise ValueError("a pattern that looks behind cuts differently from the middle of a text on")
         self.pattern = regex.compile(pattern)
         self.count = Memo(lambda piece: len(whole.encode_ordinary(piece)))
 
@@ -84,16 +89,27 @@ class TokenTree:
                 i += 1
         return min(i - self.size, len(self.leaves) - 1), begin
 
+    def _settled(self, start: int) -> tuple[int, int, int]:
+        """A leaf, the place that it begins at, and a place in it: pre-tokens that end before that see no change from start on."""
+        safe = max(0, start - LOOK_AHEAD)
+        first, begin = self._find(safe)
+        while True:
+            bare = "".join(self.leaves[first])[: safe - begin].rstrip()
+            safe = begin + len(bare)
+            if bare or not begin:
+                return first, begin, safe
+            first, begin = self._find(begin - 1)
+
     def edit(self, start: int | None, stop: int | None, new: str | None) -> None:
         """Put `new` in place of the characters from start to stop."""
         n, new = self.chars[1], new or ""
         start = n if start is None else min(max(start, 0), n)
         stop = max(start, n if stop is None else min(max(stop, 0), n))
-        first, begin = self._find(max(0, start - LOOK_AHEAD))
+        first, begin, safe = self._settled(start)
         # Whole pre-tokens that end well before the edit stay.
         kept, at = [], begin
         for p in self.leaves[first]:
-            if at + len(p) > start - LOOK_AHEAD:
+            if at + len(p) >= safe:
                 break
             kept.append(p)
             at += len(p)
@@ -154,7 +170,8 @@ def count_edited(text: str, edits: Iterable[tuple], counter: Counter) -> tuple[i
     return before, tree.n_tokens, tree.recounted, tree.text()
 
 
-_counters: dict[str, Counter] = {}
+#: By path of the ranks and pattern: a worker may serve several calls.
+_counters: dict[tuple[str, str], Counter] = {}
 
 
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, with_text: bool = False) -> DataFrame:
@@ -164,9 +181,9 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, with_text: bool
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # as large as the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks_path not in _counters:
-            _counters[ranks_path] = Counter(ranks.value, pattern)
-        counter = _counters[ranks_path]
+        if (ranks_path, pattern) not in _counters:
+            _counters[ranks_path, pattern] = Counter(ranks.value, pattern)
+        counter = _counters[ranks_path, pattern]
         for whole in batches:
             for batch in common.slices(whole):
                 rows = []
