@@ -2,7 +2,8 @@
 
 In DataFrame operations only. One pass over the texts measures each document and hashes its normalised lines; the number
 of distinct documents for each host and line is a partial aggregate; lines above the limit are joined back and a document
-that loses too many of its words with them is rejected. The column `source` names the host.
+that loses too many of its words with them is rejected (judge_quality); strip_lines removes the lines themselves. The column
+`source` names the host.
 
 Defined results: null text counts as empty; a document without words has measures 0 and fails the base rules; texts are
 taken whole, of any length; a null source is a host of its own; rows that agree in doc_id, source and text get equal
@@ -81,15 +82,39 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(common.ascii_lower(line), common.SPACES + "+", " "))
 
 
-def judge_quality(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
-    """The measures of each of docs, base_failed, n_removed_words (in lines above the limit) and kept."""
-    measured = common.materialise(measure(docs), "quality-measures")
-    per_doc = measured.select("doc_id", "source", "text_key", F.explode("lines").alias("line")).select("doc_id", "source", "text_key", "line.hash", "line.words")
+def common_lines(measured: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+    """_source, _hash: the lines of measured(source, lines) that more documents of their host have than the limits allow."""
     # Once a document and line, whatever the order of its lines: array_distinct works within the row.
     seen = measured.select("source", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash")).groupBy("source", "hash").agg(F.count(F.lit(1)).alias("n_docs"))
     hosts = measured.groupBy("source").agg(F.count(F.lit(1)).alias("host_docs")).withColumnRenamed("source", "_host")
     over = seen.where(F.col("n_docs") > line_docs).join(hosts, F.col("source").eqNullSafe(F.col("_host"))).where(F.col("n_docs") > F.col("host_docs") * line_share)
-    over = common.materialise(over.select(F.col("source").alias("_source"), F.col("hash").alias("_hash")), "quality-lines")
+    return common.materialise(over.select(F.col("source").alias("_source"), F.col("hash").alias("_hash")), "quality-lines")
+
+
+def strip_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """doc_id, source and kept_text, the text without its lines above the limit (null counts as empty), for each of docs(doc_id,
+    text, source). Lines that stay keep their order and their line ends."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = docs.select("doc_id", "source", text.alias("_text"), F.xxhash64(text).alias("text_key"))
+    hashed = lambda x: F.when(x.rlike(common.NOT_SPACES), F.xxhash64(normal_line(x)))
+    lines = F.transform(F.filter(F.split("_text", "\n"), lambda x: x.rlike(common.NOT_SPACES)), lambda x: F.struct(hashed(x).alias("hash")))
+    measured = common.materialise(base.select("doc_id", "source", "text_key", lines.alias("lines")), "quality-hashes")
+    over = common_lines(measured, line_docs, line_share)
+    own = measured.select("doc_id", "source", "text_key", F.explode(F.array_distinct("lines")).alias("line")).select("doc_id", "source", "text_key", "line.hash")
+    hits = own.join(over, (F.col("hash") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source")))
+    # A text's own lines; rows that repeat a document have the same ones.
+    gone = hits.groupBy("doc_id", "source", "text_key").agg(F.collect_set("hash").alias("_gone")).select(F.col("doc_id").alias("_doc"), F.col("source").alias("_from"), F.col("text_key").alias("_key"), "_gone")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("text_key") == F.col("_key"))
+    left = F.filter(F.split("_text", "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("_gone"), hashed(x)), F.lit(False)))
+    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
+    return base.join(common.materialise(gone, "quality-gone"), same, "left").select("doc_id", "source", kept.alias("kept_text"))
+
+
+def judge_quality(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+    """The measures of each of docs, base_failed, n_removed_words (in lines above the limit) and kept."""
+    measured = common.materialise(measure(docs), "quality-measures")
+    per_doc = measured.select("doc_id", "source", "text_key", F.explode("lines").alias("line")).select("doc_id", "source", "text_key", "line.hash", "line.words")
+    over = common_lines(measured, line_docs, line_share)
     lost = (
         per_doc.join(over, (F.col("hash") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source")))
         .groupBy("doc_id", "source", "text_key")
