@@ -2,7 +2,8 @@
 
 A gear hash of the last 32 bytes rolls over the UTF-8 bytes of each text, and a chunk ends where its top bits are zero: where
 chunks begin and end depends on their content alone, so an insertion moves only the chunks around it. Of chunks with equal
-digests the first, in the order of (doc_id, place), stays, and the others are removed.
+digests the first, in the order of (doc_id, place), stays, and the others are removed. A phrase that many texts share is
+no copied passage: chunks count as shared only in runs of neighbours that all stand elsewhere too and have LEAST_RUN bytes together.
 
 Defined results: null text counts as empty and has no chunks; texts are taken whole, of any length; null ids come last;
 rows that repeat doc_id and text are one document given twice and get equal results; an empty table gives an empty result;
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: A chunk's least and greatest bytes, and how many top bits of the hash are zero where one ends.
-LEAST, MOST, ZERO_BITS = 32, 192, 5
+LEAST, MOST, ZERO_BITS = 24, 160, 4
+#: Bytes of a run of shared chunks at least.
+LEAST_RUN = 112
 DIGEST_BYTES = 16
 
 
@@ -88,10 +91,39 @@ def chunks(docs: DataFrame) -> DataFrame:
     return common.map_arrow(rows, run, f"{common.numbered_types(docs, 'doc_id')}, key bigint, lo int, hi int, digest binary")
 
 
+def passages(lo: np.ndarray, hi: np.ndarray, least: int = LEAST_RUN) -> np.ndarray:
+    """Of shared chunks in order: which stand in a run of neighbours of `least` bytes or more."""
+    run = np.concatenate(([0], (lo[1:] != hi[:-1]).cumsum())) if len(lo) else np.zeros(0, np.int64)
+    return np.bincount(run, hi - lo)[run] >= least if len(lo) else np.zeros(0, bool)
+
+
+def _sum_up(hits: DataFrame) -> DataFrame:
+    """For hits(doc_id, key, own: distinct (lo, hi, gone) of a text's shared chunks): what of them stands in long runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
+        for batch in batches:
+            rows = []
+            for own in batch.column("own"):
+                lo, hi, gone = (own.values.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi", "gone"))
+                order = np.argsort(lo)
+                lo, hi, gone = lo[order], hi[order], gone[order]
+                held = passages(lo, hi)
+                gone = gone & held
+                size = hi - lo
+                rows.append((int(held.sum()), int(size[held].sum()), [{"lo": a, "hi": b} for a, b in zip(lo[gone].tolist(), hi[gone].tolist(), strict=True)], int(size[gone].sum())))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.list_(span), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+
+    names = ["doc_id", "key", "shared_n", "shared_size", "removed", "removed_size"]
+    return common.map_arrow(hits, run, f"{common.numbered_types(hits, 'doc_id')}, key bigint, shared_n bigint, shared_size bigint, removed array<struct<lo: int, hi: int>>, removed_size bigint")
+
+
 def dedup_chunks(docs: DataFrame) -> DataFrame:
-    """For each of docs(doc_id, text): doc_id, n_bytes, n_chunks, n_shared (chunks that stand elsewhere too, the first included),
-    shared_bytes, n_removed_chunks, n_removed (bytes of shared chunks that aren't the first), and spans: the removed
-    chunks, as (lo, hi), in order."""
+    """For each of docs(doc_id, text): doc_id, n_bytes, n_chunks, n_shared (chunks in runs that stand elsewhere too, the first copy
+    included), shared_bytes, n_removed_chunks, n_removed (bytes of shared chunks that aren't the first), and spans: the
+    removed chunks, as (lo, hi), in order."""
     cut = common.materialise(chunks(docs), "cdc-chunks")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "lo")
     real = cut.where(F.col("digest").isNotNull())
@@ -103,13 +135,7 @@ def dedup_chunks(docs: DataFrame) -> DataFrame:
     per_doc = hits.groupBy("doc_id", "key").agg(
         F.collect_set(F.struct("lo", "hi", gone.alias("gone"))).alias("own"),  # no more than the chunks of one text
     )
-    own = F.array_sort(F.col("own"))
-    size = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + (x["hi"] - x["lo"]))
-    removed = F.filter(own, lambda x: x["gone"])
-    per_doc = per_doc.select(
-        F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.size("own").cast("long").alias("shared_n"), size(own).alias("shared_size"),
-        F.transform(removed, lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))).alias("removed"), size(removed).alias("removed_size"),
-    )
+    per_doc = _sum_up(per_doc).withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
     per_doc = common.materialise(per_doc, "cdc-documents")
     counts = real.groupBy("doc_id", "key").agg(F.countDistinct("lo").alias("chunk_n")).select(F.col("doc_id").alias("_doc2"), F.col("key").alias("_key2"), "chunk_n")
     texts = cut.where(F.col("digest").isNull()).select("doc_id", "key", F.col("hi").cast("long").alias("n_bytes"))
