@@ -10,11 +10,15 @@ a digest of its bytes:
    block of buckets at a time, in numpy: ranks of the suffixes in a difference cover modulo PERIOD are computed first, by
    doubling, and a suffix is then placed by the few bytes before its next cover suffix, that suffix's rank, and the bytes
    beyond the rank's depth. Ties of any length below `length` thus take a few comparisons, and memory is bounded by the block;
-3. a bucket of more than CROWD different runs is counted by digests of its strings instead, as a partial aggregate.
+3. a bucket of more than Limits.crowd different runs is counted by digests of its strings instead, as a partial aggregate.
 
 Runs of one bucket are laid out around their minimiser, so that the places of equal strings agree modulo PERIOD and the
 cover's shift for a pair depends on the place alone.
 
+Passages that are shorter than `length` stay, but documents that share them are told: n_shared_grams counts, of the
+PASSAGE_GRAM-grams that are minimisers of a text's strings of PASSAGE bytes, those that stand in another document too. Documents
+that share a string of PASSAGE bytes share such a gram, so that 0 says that no other document holds one of this text's.
+
 Defined results: null text counts as empty; texts shorter than `length` lose nothing; matches never cross documents; rows
 that repeat doc_id and text are two documents with equal texts; a text that stands twice loses all of its bytes in both places,
 if it has `length` or more; texts are taken whole, of any length; an empty table gives an empty result; other columns are
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +40,25 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM = 32
-#: Bytes whose minimisers are found at once; places within must fit PLACE_BITS.
-STRETCH, PLACE_BITS = 8_000_000, 24
-#: Bytes that are sorted at once, unless one bucket has more; different runs of a bucket that are sorted at most.
-BLOCK, CROWD = 3_000_000, 8192
+#: Bits of a place within a stretch.
+PLACE_BITS = 24
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bounds on memory, none of which changes a result. stretch: bytes whose minimisers are found at once, below 2 ** PLACE_BITS.
+    block: bytes that are sorted at once, unless one bucket has more. crowd: different runs of a bucket that are sorted at
+    most; a larger bucket is counted by digests of its strings."""
+
+    stretch: int = 8_000_000
+    block: int = 3_000_000
+    crowd: int = 8192
+
+
+LIMITS = Limits()
 PERIOD = 64
+#: Bytes of a passage, and of the grams that stand for it. 51 words are mostly 270 bytes or more.
+PASSAGE, PASSAGE_GRAM = 256, 96
 #: Share of the repeated runs' rows from which a run is joined by broadcast.
 HOT_SHARE = 1 / 1024
 
@@ -58,17 +77,27 @@ DEPTH = 6 * PERIOD
 SHORTEST = DEPTH + 8
 
 
-def _grams(buf: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place on (of fewer, at the end)."""
-    x = buf.astype(np.uint64) + np.uint64(1)
-    n, power = 1, 0x9E3779B97F4A7C15
-    while n < GRAM:
-        y = x * np.uint64(power)
-        y[:-n] += x[n:]
-        x, n, power = y, 2 * n, power * power % (1 << 64)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def _grams(buf: np.ndarray, width: int = GRAM) -> np.ndarray:
+    """A hash of the `width` bytes from each place on (of fewer, at the end)."""
+    base = 0x9E3779B97F4A7C15
+    x, n = buf.astype(np.uint64) + np.uint64(1), 1  # of n bytes: the sum of each, times base to the power of what follows
+    out, size = None, 0
+    while n <= width:
+        if width & n:
+            if out is None:
+                out, size = x.copy(), n
+            else:
+                longer = x * np.uint64(pow(base, size, 1 << 64))
+                longer[:-n] += out[n:]
+                out, size = longer, size + n
+        if 2 * n <= width:
+            y = x * np.uint64(pow(base, n, 1 << 64))
+            y[:-n] += x[n:]
+            x = y
+        n *= 2
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -80,21 +109,27 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - n)], x[width - n :]) if n < width else x
 
 
-def runs_of(raw: bytes, sizes: list[int], length: int) -> tuple[np.ndarray, ...]:
-    """Runs of string starts in the texts that raw holds one after the other: first start, last start, place and hash of the
-    minimiser."""
+def _minimisers(raw: bytes, sizes: list[int], length: int, width: int) -> tuple[np.ndarray, ...]:
+    """Of the strings of `length` bytes in the texts that raw holds one after the other: their starts, the place of the `width`
+    bytes with the smallest hash in each, and the hashes by place."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64)
     buf = np.frombuffer(raw, np.uint8)
-    hashes = _grams(buf)
+    hashes = _grams(buf, width)
     low = np.uint64((1 << PLACE_BITS) - 1)
-    least = _least((hashes[: len(buf) - GRAM + 1] & ~low) | np.arange(len(buf) - GRAM + 1, dtype=np.uint64), length - GRAM + 1)
+    least = _least((hashes[: len(buf) - width + 1] & ~low) | np.arange(len(buf) - width + 1, dtype=np.uint64), length - width + 1)
     ends = np.repeat(np.cumsum(sizes), sizes)
     starts = np.nonzero(np.arange(len(least)) + length <= ends[: len(least)])[0]
+    return starts, (least[starts] & low).astype(np.int64), hashes
+
+
+def runs_of(raw: bytes, sizes: list[int], length: int) -> tuple[np.ndarray, ...]:
+    """Runs of string starts in the texts that raw holds one after the other: first start, last start, place and hash of the
+    minimiser."""
+    starts, at, hashes = _minimisers(raw, sizes, length, GRAM)
     if not len(starts):
-        return none, none, none, none.astype(np.uint64)
-    at = (least[starts] & low).astype(np.int64)
+        return starts, starts, at, hashes[:0]
     cuts = np.nonzero((at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1))[0] + 1
     first, last = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(starts)])) - 1
     return starts[first], starts[last], at[first], hashes[at[first]]
@@ -104,28 +139,29 @@ def _digest(b: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b)
 
 
-def _find_runs(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, key, gram, digest, lo, at, hi: the runs of each text; bytes lo to hi hold them, the minimiser is at `at`."""
+def _stretches(batch: pa.RecordBatch, length: int, stretch: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Rows of texts that are handled together: (row, offset, bytes). A long text comes in parts that hold all of its strings."""
+    held, size = [], 0
+    for i, text in enumerate(batch.column("text").to_pylist()):
+        text = text or b""
+        for o in range(0, max(len(text) - length + 1, 0), stretch):
+            part = text[o : o + stretch + length - 1]
+            if held and size + len(part) > stretch:
+                yield held
+                held, size = [], 0
+            held.append((i, o, part))
+            size += len(part)
+    if held:
+        yield held
+
 
-    def stretches(batch: pa.RecordBatch):
-        """Rows of texts that are handled together: (row, offset, bytes)."""
-        held, size = [], 0
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            text = text or b""
-            for o in range(0, max(len(text) - length + 1, 0), STRETCH):
-                part = text[o : o + STRETCH + length - 1]
-                if held and size + len(part) > STRETCH:
-                    yield held
-                    held, size = [], 0
-                held.append((i, o, part))
-                size += len(part)
-        if held:
-            yield held
+def _find_runs(docs: DataFrame, length: int, stretch: int) -> DataFrame:
+    """doc_id, key, gram, digest, lo, at, hi: the runs of each text; bytes lo to hi hold them, the minimiser is at `at`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole):
-                for held in stretches(batch):
+                for held in _stretches(batch, length, stretch):
                     raw = b"".join(p for _, _, p in held)
                     sizes = [len(p) for _, _, p in held]
                     lo, last, at, gram = runs_of(raw, sizes, length)
@@ -211,7 +247,7 @@ def repeated_starts(runs: list[tuple[bytes, int]], length: int) -> list[np.ndarr
     return np.split(found, counts.cumsum()[:-1])
 
 
-def _sort_buckets(bodies: DataFrame, length: int) -> DataFrame:
+def _sort_buckets(bodies: DataFrame, length: int, most: int) -> DataFrame:
     """For bodies(gram, digest, doc_id, key, lo, at, body, open): spans (doc_id, key, lo, hi) of repeated strings in runs that are open."""
     kind = common.numbered_types(bodies, "doc_id")
     id_type = None
@@ -239,7 +275,7 @@ def _sort_buckets(bodies: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             for row in zip(*(batch.column(k).to_pylist() for k in ("gram", "digest", "doc_id", "key", "lo", "at", "body", "open")), strict=True):
-                if row[0] != last and size >= BLOCK:
+                if row[0] != last and size >= most:
                     if (out := spans(block)) is not None:
                         yield out
                     block, size = [], 0
@@ -275,20 +311,59 @@ def _cut_bodies(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return cut.select("r.gram", "r.digest", "doc_id", "key", "r.lo", "r.at", F.expr("substring(text, r.lo + 1, r.hi - r.lo)").alias("body"), "r.open", "r.crowded")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, key and spans (arrays of lo, hi, in no order) of bytes under strings that stand elsewhere too, for docs(doc_id, key,
+def shared_grams(docs: DataFrame, passage: int = PASSAGE, width: int = PASSAGE_GRAM, limits: Limits = LIMITS) -> DataFrame:
+    """doc_id, key and n_shared_grams of the documents that share a minimiser of their passages with another row, for docs(doc_id,
+    key, text as binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.slices(whole):
+                found: dict[int, list[np.ndarray]] = {}
+                for held in _stretches(batch, passage, limits.stretch):
+                    starts, at, hashes = _minimisers(b"".join(p for _, _, p in held), [len(p) for _, _, p in held], passage, width)
+                    if not len(starts):
+                        continue
+                    begin = np.cumsum([0, *(len(p) for _, _, p in held[:-1])])
+                    at = np.unique(at)
+                    which = np.searchsorted(begin, at, side="right") - 1
+                    for k in np.unique(which).tolist():
+                        found.setdefault(held[k][0], []).append(hashes[at[which == k]])
+                own = {i: np.unique(np.concatenate(x)) for i, x in found.items()}  # once a row
+                rows = pa.array(np.repeat(list(own), [len(x) for x in own.values()]).astype(np.int64))
+                grams = np.concatenate([np.zeros(0, np.uint64), *own.values()])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(grams.view(np.int64))], names=["doc_id", "key", "gram"])
+
+    grams = common.materialise(common.map_arrow(docs, run, f"{common.numbered_types(docs, 'doc_id')}, key bigint, gram bigint"), "suffix-grams")
+    again = common.materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("gram").alias("_gram"), "n"), "suffix-shared")
+    hot, few = _by_heat(again)
+    same = F.col("gram") == F.col("_gram")
+    found = grams.join(hot, same).select("doc_id", "key", "gram").unionByName(grams.join(few, same).select("doc_id", "key", "gram"))
+    out = common.materialise(found.groupBy("doc_id", "key").agg(F.count_distinct("gram").alias("n_shared_grams")), "suffix-passages")
+    common.discard(grams, again)
+    return out
+
+
+def _by_heat(again: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a written table of repeated keys with the number n of their rows: those that hold HOT_SHARE of the rows, to be broadcast,
+    no more than 1 / HOT_SHARE of them; and the others, which meet their rows in a sort-merge join."""
+    total = again.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(again.where(F.col("n") > total * HOT_SHARE).drop("n")), again.where(F.col("n") <= total * HOT_SHARE).drop("n").hint("merge")
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, limits: Limits = LIMITS) -> DataFrame:
+    """doc_id, key and spans (arrays of lo, hi, in no order), written, of bytes under strings that stand elsewhere too, for docs(doc_id, key,
     text as binary). One row for each document that has such."""
     if length < SHORTEST + 8:
         raise ValueError(f"length must be {SHORTEST + 8} or more")
-    runs = common.materialise(_find_runs(docs, length), "suffix-runs")
+    runs = common.materialise(_find_runs(docs, length, limits.stretch), "suffix-runs")
     one = F.min(F.struct("key", "doc_id", "lo", "at", "hi")).alias("one")
     kinds = common.materialise(runs.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n"), one), "suffix-kinds")
-    contested = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("gram").alias("_gram"), (F.col("m") > CROWD).alias("crowded"))
+    contested = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("gram").alias("_gram"), (F.col("m") > limits.crowd).alias("crowded"))
     contested = common.materialise(contested, "suffix-contested")
     wanted = kinds.join(contested, F.col("gram") == F.col("_gram")).select("gram", "digest", (F.col("n") == 1).alias("open"), "crowded", "one.*")
     wanted = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "digest", "lo", "at", "hi", "open", "crowded")).alias("runs"))
     bodies = common.materialise(_cut_bodies(wanted, docs), "suffix-bodies")
-    sorted_spans = _sort_buckets(bodies.where("not crowded"), length)
+    sorted_spans = _sort_buckets(bodies.where("not crowded"), length, limits.block)
 
     crowd = bodies.where("crowded")
     found = [sorted_spans]
@@ -300,27 +375,29 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         found.append(strings.where("open").join(twice, F.col("string") == F.col("_string")).select("doc_id", "key", "lo", (F.col("lo") + length).alias("hi")))
     pair = (F.col("gram") == F.col("_gram")) & (F.col("digest") == F.col("_digest"))
     again = common.materialise(kinds.where("n > 1").select(F.col("gram").alias("_gram"), F.col("digest").alias("_digest"), "n"), "suffix-again")
-    total = again.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # A run that holds this share of the rows is broadcast, no more than 1 / HOT_SHARE of them; the others meet in a sort-merge join.
-    hot = F.broadcast(again.where(F.col("n") > total * HOT_SHARE).drop("n"))
+    hot, few = _by_heat(again)
     found.append(runs.join(hot, pair, "left_semi").select("doc_id", "key", "lo", "hi"))
-    few = again.where(F.col("n") <= total * HOT_SHARE).drop("n").hint("merge")
     found.append(runs.join(hot, pair, "left_anti").join(few, pair).select("doc_id", "key", "lo", "hi"))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    return every.groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = common.materialise(every.groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "suffix-spans")
+    common.discard(runs, kinds, contested, bodies, again)
+    return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, limits: Limits = LIMITS) -> DataFrame:
     """For each of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the bytes that are
-    left, and these as `kept_text` (binary) if with_text."""
+    left, n_shared_grams, and the bytes that are left as `kept_text` (binary) if with_text."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     texts = docs.select("doc_id", text.alias("text")).withColumn("key", F.xxhash64("text"))
-    spans = common.materialise(repeated_spans(texts, length), "suffix-spans")
-    by_doc = spans.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "spans")
-    joined = texts.join(by_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left").select("doc_id", "text", "spans")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
+    marks = shared_grams(texts, limits=limits).select("doc_id", "key", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"), "n_shared_grams")
+    spans = repeated_spans(texts, length, limits).select("doc_id", "key", "spans", F.lit(None).cast("long").alias("n_shared_grams"))
+    by_doc = marks.unionByName(spans).groupBy("doc_id", "key").agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("n_shared_grams").alias("n_shared_grams"))
+    by_doc = by_doc.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "spans", "n_shared_grams")
+    joined = texts.join(by_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
+    joined = joined.select("doc_id", "text", "spans", F.coalesce("n_shared_grams", F.lit(0)).cast("long").alias("n_shared_grams"))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_grams", *["kept_text"] * with_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -337,9 +414,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
                     left.append(body[at:])
                     kept = b"".join(left)
                     rows.append((len(body), gone, runs, hashlib.sha256(kept).hexdigest(), kept))
-                columns = list(zip(*rows, strict=True))[: 5 if with_text else 4]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], names=names)
+                columns = list(zip(*rows, strict=True))
+                counts = [pa.array(c, t) for c, t in zip(columns[:4], (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, batch.column("n_shared_grams"), *[pa.array(columns[4], pa.binary())] * with_text], names=names)
 
-    schema = f"{common.numbered_types(docs, 'doc_id')}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    schema = f"{common.numbered_types(docs, 'doc_id')}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared_grams bigint"
     return common.map_arrow(joined, run, schema + ", kept_text binary" * with_text)
