@@ -59,13 +59,31 @@ def test_mix_comes_near_its_targets(spark):
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
     assert (out["copies"].between(0, 3)).all() and (out["taken"] <= 3 * out["size"]).all()
     for _, part in out.groupby("source", dropna=False):
-        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 400
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= part["size"].max()
     again = mixing.mix(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(7)).toPandas()
     assert (out.sort_values("doc_id")["taken"].to_numpy() == again.sort_values("doc_id")["taken"].to_numpy()).all()
     emitted = mixing.emit_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert emitted.count() == out["copies"].sum()
 
 
+def test_taken_words_miss_a_target_by_less_than_a_document(spark, docs):
+    for frame in (docs, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        out = mixing.mix(frame).toPandas()
+        by = out.groupby("source", dropna=False)
+        assert ((by["taken"].sum() - by["target"].first()).abs() <= by["size"].max()).all()
+
+
+def test_rows_that_differ_in_other_columns_only_are_taken_on_their_own(spark):
+    rows = [(1, "a b c", "s", i, {"k": i}) for i in range(30)] + [(2, "a b c", "s", 7, {"k": 7})] * 3 + [(i, "x", "t", 0, None) for i in range(10, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, more int, m map<string,int>")
+    copies = {}
+    for r in mixing.emit_mix(df).collect():
+        copies[r["source"], r["doc_id"], r["more"]] = copies.get((r["source"], r["doc_id"], r["more"]), 0) + 1
+    own = mixing.mix(df).groupBy("source", "doc_id").agg(F.sum("copies").alias("n")).collect()
+    assert {(r["source"], r["doc_id"]): r["n"] for r in own if r["n"]} == {k[:2]: sum(n for x, n in copies.items() if x[:2] == k[:2]) for k in copies}
+    assert len({k[2] for k in copies if k[1] == 1}) > 15
+
+
 # -- 2
 
 
@@ -114,6 +132,37 @@ def test_an_edit_recounts_its_surroundings_only():
     assert tree.recounted < 400
 
 
+@pytest.mark.parametrize("pattern", [r"\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+", r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"])
+def test_edits_count_like_whole_texts_with_patterns_that_look_through_space(pattern):
+    raw = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
+    counter, rng = tokencount.Counter(raw, pattern), random.Random(6)
+    make = lambda n: "".join(rng.choices(["a", "b's", " ", " " * 20, "\n", "!", "1", "\r\n"], k=n))
+    tree = tokencount.TokenTree(counter, "\n" + " " * 200 + "x")
+    tree.edit(201, 202, "\n")
+    assert [p for leaf in tree.leaves for p in leaf] == counter.cut("\n" + " " * 200 + "\n")
+    for _ in range(300):
+        text = make(rng.choice([0, 1, 5, 60, 300]))
+        tree = tokencount.TokenTree(counter, text)
+        for _ in range(4):
+            a = rng.randint(0, len(text))
+            b, new = min(len(text), a + rng.choice([0, 0, 1, 30])), make(rng.choice([0, 1, 3]))
+            text = text[:a] + new + text[b:]
+            tree.edit(a, b, new)
+            assert [p for leaf in tree.leaves for p in leaf] == counter.cut(text)
+
+
+def test_patterns_that_look_behind_are_refused():
+    with pytest.raises(ValueError):
+        tokencount.Counter(b"", r"(?<=a)b|.")
+
+
+def test_one_worker_counts_by_several_patterns(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(1, "abc def", None)], "doc_id long, text string, edits array<struct<start int, stop int, text string>>").coalesce(1)
+    counts = [tokencount.count_tokens(df, path, p).first()["n_tokens"] for p in (public_tokenizers.PATTERN, r"(?s:.)", public_tokenizers.PATTERN)]
+    assert counts == [counts[0], 7, counts[0]] and counts[0] < 7
+
+
 def test_token_counts(spark, docs, texts):
     import tiktoken
 
@@ -140,6 +189,17 @@ def plain_chunks(b: bytes) -> list[tuple[int, int]]:
     return out + ([(start, len(b))] if start < len(b) else [])
 
 
+def in_runs(shared: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of shared chunks, those in runs of neighbours with LEAST_RUN bytes."""
+    runs = []
+    for a, e in shared:
+        if runs and runs[-1][-1][1] == a:
+            runs[-1].append((a, e))
+        else:
+            runs.append([(a, e)])
+    return [x for r in runs if r[-1][1] - r[0][0] >= cdc.LEAST_RUN for x in r]
+
+
 def test_chunks(spark, docs, texts):
     bodies = {i: t.encode() for i, t in texts.items()}
     cuts = {i: plain_chunks(b) for i, b in bodies.items()}
@@ -148,21 +208,27 @@ def test_chunks(spark, docs, texts):
         for a, e in cuts[i]:
             count[bodies[i][a:e]] += 1
             first.setdefault(bodies[i][a:e], (i, a))
+    some = 0
     for r in cdc.dedup_chunks(docs).collect():
         i = r["doc_id"]
-        shared = [(a, e) for a, e in cuts[i] if count[bodies[i][a:e]] > 1]
+        shared = in_runs([(a, e) for a, e in cuts[i] if count[bodies[i][a:e]] > 1])
         gone = [(a, e) for a, e in shared if first[bodies[i][a:e]] != (i, a)]
-        assert (r["n_chunks"], r["n_shared"], [(s["lo"], s["hi"]) for s in r["spans"]], r["n_removed"]) == (len(cuts[i]), len(shared), gone, sum(e - a for a, e in gone))
+        some += len(gone)
+        assert (r["n_chunks"], r["n_shared"], r["shared_bytes"]) == (len(cuts[i]), len(shared), sum(e - a for a, e in shared))
+        assert ([(s["lo"], s["hi"]) for s in r["spans"]], r["n_removed_chunks"], r["n_removed"]) == (gone, len(gone), sum(e - a for a, e in gone))
+    assert some
 
 
 def test_passages_are_found_behind_other_texts(spark):
     rng = random.Random(8)
-    passages = [words(rng, 60) for _ in range(40)]
+    passages = [words(rng, 51) for _ in range(200)]
     rows = [(2 * i + k, f"{words(rng, rng.randint(5, 90))} {p} {words(rng, rng.randint(5, 90))}", "s") for i, p in enumerate(passages) for k in (0, 1)]
     rows += [(1000 + i, words(rng, 150), "s") for i in range(40)]
+    phrase = words(rng, 10)  # too short for a passage
+    rows += [(2000 + i, f"{words(rng, 40)} {phrase} {words(rng, 40)}", "s") for i in range(40)]
     out = {r["doc_id"]: r for r in cdc.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert sum(out[i]["n_shared"] > 0 for i in range(80)) >= 76
-    assert all(out[i]["n_shared"] == 0 for i in range(1000, 1040))
+    assert sum(out[i]["n_shared"] > 0 for i in range(400)) >= 360  # words of this fixture are shorter than those of prose
+    assert all(r["n_shared"] == 0 for i, r in out.items() if i >= 1000)
 
 
 # -- 5
@@ -181,6 +247,21 @@ def test_quality(spark):
     assert out[1]["n_symbols"] == 1 and out[201]["base_failed"]
 
 
+def test_common_lines_are_removed(spark):
+    rng = random.Random(19)
+    rows = [(i, f" Home  ABOUT\n\n{words(rng, 9)}\nhome about\t\nown line {i}\n", "h") for i in range(30)]
+    rows += [(100 + i, f"home about\n{words(rng, 3)}", None) for i in range(3)] + [(200, None, "h"), (1, rows[1][1], "h")]
+    out = quality.strip_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == len(rows)
+    hosts, seen = Counter(r[2] for r in rows), Counter()
+    bare = lambda x: " ".join(x.lower().split())
+    for _, t, h in rows:
+        seen.update({(h, bare(x)) for x in (t or "").split("\n") if x.split()})
+    over = {k for k, n in seen.items() if n > quality.LINE_DOCS and n > quality.LINE_SHARE * hosts[k[0]]}
+    want = [(i, "\n".join(x for x in (t or "").split("\n") if (h, bare(x)) not in over)) for i, t, h in rows]
+    assert over and sorted((r["doc_id"], r["kept_text"]) for r in out) == sorted(want)
+
+
 def test_repeated_words(spark):
     rng = random.Random(10)
     rows = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 40))), "s") for i in range(150)]
@@ -228,31 +309,43 @@ def odd_texts() -> dict:
     return mixed | period
 
 
-@pytest.mark.parametrize("crowd", [None, 2])
-def test_substrings(spark, docs, texts, monkeypatch, crowd):
-    if crowd:  # the way of crowded buckets
-        monkeypatch.setattr(suffix, "CROWD", crowd)
+#: Every bound, and one low enough that these texts go beyond it.
+LOW = [suffix.Limits(), suffix.Limits(crowd=2), suffix.Limits(block=2000), suffix.Limits(stretch=1000), suffix.Limits(stretch=700, block=1, crowd=1)]
+
+
+@pytest.mark.parametrize("limits", LOW)
+def test_substrings(spark, docs, texts, limits):
     every = {**{1000 + i: t for i, t in texts.items()}, **odd_texts()}
     want = plain_removal({i: t.encode() for i, t in every.items()}, 400)
-    df = spark.createDataFrame([(i, t) for i, t in every.items()], "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(df, with_text=True).collect()}
+    df = spark.createDataFrame([(i, t) for i, t in every.items()], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.remove_repeats(df, with_text=True, limits=limits).collect()}
     assert got == want
 
 
-def test_runs_of_long_texts_are_cut_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "STRETCH", 1000)
+@pytest.mark.parametrize("stretch", [8_000_000, 600])
+def test_shared_passages_are_told(spark, stretch):
     every = odd_texts()
-    want = plain_removal({i: t.encode() for i, t in every.items()}, 400)
-    df = spark.createDataFrame(list(every.items()), "doc_id long, text string").repartition(1)
-    # The executors' module is another one: run the finder here, over the same rows.
     bodies = {i: t.encode() for i, t in every.items()}
-    runs = {}
+    holders, lines = {}, {}
+    for i, b in bodies.items():
+        for k in range(len(b) - suffix.PASSAGE_GRAM + 1):
+            holders.setdefault(b[k : k + suffix.PASSAGE_GRAM], set()).add(i)
+        lines[i] = {b[k : k + suffix.PASSAGE] for k in range(len(b) - suffix.PASSAGE + 1)}
+    df = spark.createDataFrame([(i, t) for i, t in every.items()], "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["n_shared_grams"] for r in suffix.remove_repeats(df, limits=suffix.Limits(stretch=stretch)).collect()}
+    assert set(got) == set(every) and any(n == 0 for n in got.values())
     for i, b in bodies.items():
-        for o in range(0, max(len(b) - 399, 0), 1000):
-            lo, last, _, _ = suffix.runs_of(b[o : o + 1399], [len(b[o : o + 1399])], 400)
-            runs.setdefault(i, []).extend(x + o for a, z in zip(lo.tolist(), last.tolist()) for x in range(a, z + 1))
-        assert runs.get(i, []) == list(range(len(b) - 399))
-    assert {r["doc_id"]: r["n_removed"] for r in suffix.remove_repeats(df).collect()} == {i: w[1] for i, w in want.items()}
+        hash_of = dict(zip(suffix._grams(np.frombuffer(b, np.uint8), suffix.PASSAGE_GRAM).tolist()[: max(0, len(b) - suffix.PASSAGE_GRAM + 1)], range(len(b))))
+        least = set()
+        low = (1 << suffix.PLACE_BITS) - 1
+        order = {k: h & ~low for h, k in hash_of.items()}
+        if len(hash_of) == len(b) - suffix.PASSAGE_GRAM + 1:  # no gram twice in the text: the smallest hash is that of one place
+            least = {min(range(k, k + suffix.PASSAGE - suffix.PASSAGE_GRAM + 1), key=lambda p: (order[p], p)) for k in range(len(b) - suffix.PASSAGE + 1)}
+            assert got[i] <= sum(len(holders[b[p : p + suffix.PASSAGE_GRAM]]) > 1 for p in least)
+        if any(lines[i] & lines[j] for j in lines if j != i):
+            assert got[i] > 0
+        if not any(len(holders[b[k : k + suffix.PASSAGE_GRAM]]) > 1 for k in range(len(b) - suffix.PASSAGE_GRAM + 1)):
+            assert got[i] == 0
 
 
 # -- 7
@@ -292,6 +385,11 @@ def test_simhash(spark, docs, texts, monkeypatch, crowd):
     assert got == {i: (fps[i], want[i]) for i in ids}
 
 
+def test_fingerprints_of_very_long_texts(spark):
+    text = words(random.Random(21), simhash.STRIDE + 5000)
+    assert simhash.fingerprint(text.encode(), 4) == plain_fingerprint(text, 4)
+
+
 def test_forest_and_divisions():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
@@ -391,6 +489,25 @@ def test_index_keeps_what_it_has_seen(spark, tmp_path):
     assert sorted(r["text"] for r in exact.drop_exact(frame([(1, "e"), (2, "E"), (3, "d")]), path, "three").collect()) == ["E"]
 
 
+def test_an_index_keeps_its_own_buckets(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert exact.dedup_exact(df, path, "one").where("kept").count() == 2000
+    table = exact.DigestIndex(spark, path, 99).table
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("3", "8", "32"):  # sessions with settings and catalogs of their own
+        spark.sql(f"DROP TABLE {table}")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        assert exact.DigestIndex(spark, path, int(partitions)).buckets == int(before)
+        assert exact.dedup_exact(df, path, f"again {partitions}").where("kept").count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError):
+        exact.DigestIndex(spark, path, 4, "string")
+    spark.range(3).write.parquet(f"{tmp_path}/other")
+    with pytest.raises(ValueError):
+        exact.DigestIndex(spark, f"file://{tmp_path}/other", 4)
+
+
 def test_only_a_to_z_are_folded(spark):
     rows = [(1, "ÄA"), (2, "äA"), (3, "Äa"), (4, "İ"), (5, "i̇")]
     kept = {r["doc_id"]: r["kept"] for r in exact.dedup_exact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -419,6 +536,92 @@ def test_toxicity_on_held_out_rows(spark):
     assert out["score"].between(0, 1).all()
 
 
+def plain_features(text: str, learned: dict) -> list[float]:
+    raw = text.encode("utf-8", "replace")
+    tokens = text.lower().split()
+    if not tokens:
+        return [0.0] * len(toxicity.FEATURES)
+    n, size = len(tokens), len(raw)
+    bare = [t.strip(toxicity._EDGE) for t in tokens]
+    lexicon = [w in toxicity.LEXICON for w in bare]
+    weight = [max([learned.get(w + "$", 0.0), *(learned.get(w[:k], 0.0) for k in (4, 5, 6, 7, 8) if len(w) > k)]) if w else 0.0 for w in bare]
+    hits = [a or b > 0 for a, b in zip(lexicon, weight)]
+    second = [w in toxicity.SECOND for w in bare]
+    near = sum(h and any(second[j] for j in range(max(0, i - 5), min(n, i + 6))) for i, h in enumerate(hits))
+    mixed, i = [], 0
+    letter = lambda c: "a" <= c <= "z" or "A" <= c <= "Z"
+    flat = raw.decode("latin-1")
+    while i < len(flat):  # runs of letters joined by digits and signs
+        if not letter(flat[i]):
+            i += 1
+            continue
+        parts, j = 1, i
+        while j < len(flat) and letter(flat[j]):
+            j += 1
+        while True:
+            k = j
+            while k < len(flat) and flat[k] in "0123456789@$!*|._-":
+                k += 1
+            m = k
+            while m < len(flat) and letter(flat[m]):
+                m += 1
+            if k == j or m == k:
+                break
+            parts, j = parts + 1, m
+        if parts > 1:
+            mixed.append(flat[i:j])
+        i = j
+    clear = ["".join(c for c in x.lower().translate(toxicity.LEET) if "a" <= c <= "z") for x in mixed]
+    share = lambda found: sum(found(b) for b in raw) / size
+    used = [w for w in weight if w]
+    return [
+        sum(lexicon) / n, float(sum(lexicon)), float(sum(lexicon[:50])), len(used) / n, float(len(used)), sum(used) / n, max(used, default=0.0), float(near), sum(second) / n if any(hits) else 0.0,
+        share(lambda b: 65 <= b <= 90), sum(len(t) > 2 and t.isupper() for t in text.split()) / n, share(lambda b: chr(b) in "!\"'(),-./:;?"), share(lambda b: chr(b) in "!?"), share(lambda b: chr(b) in "#$%&*+<=>@[\\]^_`{|}~"),
+        share(lambda b: 48 <= b <= 57), len(mixed) / n, float(sum(c in toxicity.LEXICON for c in clear)), np.log1p(n), np.log1p(size), size / n, len(set(tokens)) / n, text.count("\n") / n, share(lambda b: b > 127),
+    ]
+
+
+def plain_stems(rows: list[tuple], halves: set) -> dict:
+    """Of (half, toxic, text): weights of the stems that tell toxic rows of these halves."""
+    every, hits, misses, n = Counter(), Counter(), Counter(), Counter()
+    for half, toxic, text in rows:
+        found = set()
+        for w in {w for x in text.lower().split() if (w := x.strip(toxicity._EDGE))}:
+            found |= {w + "$", *(w[:k] for k in (4, 5, 6, 7, 8) if len(w) > k)}
+        every.update(found if toxic else ())
+        if half in halves:
+            n[toxic] += 1
+            (hits if toxic else misses).update(found)
+    odds = {s: np.log((hits[s] + 0.5) / (n[1] + 1.0)) - np.log((misses[s] + 0.5) / (n[0] + 1.0)) for s in hits if every[s] >= toxicity.LEAST_ROWS}
+    good = [s for s, o in odds.items() if o >= toxicity.LEAST_ODDS and hits[s] >= max(toxicity.LEAST_ROWS, toxicity.LEAST_SHARE * n[1])]
+    return {s: odds[s] for s in sorted(good, key=lambda s: (-odds[s] * hits[s] ** 0.5, s))[: toxicity.MAX_STEMS]}
+
+
+def test_scores_are_those_of_plain_features_and_a_plain_fit(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in queries.op9_toxicity(spark, sf).collect()}
+    half = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.concat(F.lit("half"), F.col("doc_id").cast("string"))), F.lit(2)).alias("h")).collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    import zlib
+
+    out = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in text}
+    rows = sorted((str(r["doc_id"]), half[r["doc_id"]], r["toxic"], text[r["doc_id"]]) for r in labels.collect() if r["doc_id"] in text and not out[r["doc_id"]])
+    stems = {k: plain_stems([r[1:] for r in rows], h) for k, h in ((0, {0}), (1, {1}), (2, {0, 1}))}
+    x = np.array([plain_features(t, stems[1 - h]) for _, h, _, t in rows])
+    y = np.array([float(r[2]) for r in rows])
+    cross = np.zeros(len(y))
+    for k in range(5):
+        own = np.arange(len(y)) % 5 == k
+        cross[own] = trees.Boosted().fit(x[~own], y[~own]).score(x[own])
+    at, rate = trees.isotonic(cross, y)
+    raw = trees.Boosted().fit(x, y).score(np.array([plain_features(t, stems[2]) for t in text.values()]))
+    want = 0.999 * np.interp(raw, at, rate) + 0.001 / (1 + np.exp(-raw))
+    assert len(got) == len(text)
+    for i, p in zip(text, want):
+        assert got[i]["held_out"] == out[i] and got[i]["score"] == pytest.approx(p, abs=1e-6) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+
+
 def test_held_out_labels_decide_nothing(spark):
     sf = SMALL
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
