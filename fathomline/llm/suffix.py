@@ -50,7 +50,7 @@ class Limits:
     block: bytes that are sorted at once, unless one bucket has more. crowd: different runs of a bucket that are sorted at
     most; a larger bucket is counted by digests of its strings."""
 
-    stretch: int = 8_000_000
+    stretch: int = 2_000_000
     block: int = 3_000_000
     crowd: int = 8192
 
@@ -160,7 +160,7 @@ def _find_runs(docs: DataFrame, length: int, stretch: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in common.slices(whole):
+            for batch in common.slices(whole, 1_000_000):
                 for held in _stretches(batch, length, stretch):
                     raw = b"".join(p for _, _, p in held)
                     sizes = [len(p) for _, _, p in held]
@@ -317,7 +317,7 @@ def shared_grams(docs: DataFrame, passage: int = PASSAGE, width: int = PASSAGE_G
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in common.slices(whole):
+            for batch in common.slices(whole, 1_000_000):
                 found: dict[int, list[np.ndarray]] = {}
                 for held in _stretches(batch, passage, limits.stretch):
                     starts, at, hashes = _minimisers(b"".join(p for _, _, p in held), [len(p) for _, _, p in held], passage, width)
