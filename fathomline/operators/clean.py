@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..shared import materialise
+from ..shared import discard, materialise
 
 # What marks a page of low value. URLs are lower-cased before they are compared, so that "return_to=%2F" never fits.
 LOW_URLS = ("telegram.me/share", "pinterest.com", "apps.apple.com", "itunes.apple.com", "wordpress.com/abuse", "localization?currency=", "return_to=%2F", "replytocom=", "/share?", "facebook.com/share")
@@ -57,14 +57,19 @@ def keep_first(rows: DataFrame, order: str, url: str = "normalized_url", text_ha
     keys = rows.select(F.col(order).alias("row"), F.explode(F.array(F.concat(F.lit("u"), F.col(url)), F.concat(F.lit("t"), F.col(text_hash)))).alias("key"))
     low = materialise(keys.groupBy("key").agg(F.min("row").alias("low"), F.count(F.lit(1)).alias("n")), "first-keys")
     keys = materialise(keys.join(low.where("n > 1").select("key"), "key"), "first-shared")
-    # Smallest row that shared keys reach: labels go down until they stay.
-    labels = keys.groupBy("row").agg(F.min("row").alias("label"))
+    # Smallest row that shared keys reach. A round takes a label over from the neighbours, and then the label's own label, so that
+    # rounds grow with the logarithm of a group's diameter.
+    labels = materialise(keys.select("row", F.col("row").alias("label")).distinct(), "first-labels")
     while True:
         of_key = keys.join(labels, "row").groupBy("key").agg(F.min("label").alias("label"))
-        new = keys.join(of_key, "key").groupBy("row").agg(F.min("label").alias("new"))
-        both = materialise(labels.join(new, "row").select("row", "label", F.least("label", "new").alias("new")), "first-labels")
-        labels = both.select("row", F.col("new").alias("label"))
-        if both.where("label <> new").isEmpty():
+        new = keys.join(of_key, "key").groupBy("row").agg(F.min("label").alias("label"))
+        near = materialise(new, "first-near")
+        further = near.select(F.col("row").alias("label"), F.col("label").alias("new"))
+        both = materialise(near.join(further, "label").select("row", F.col("new").alias("label")), "first-labels")
+        moved = not both.join(labels.withColumnRenamed("label", "was"), "row").where("label <> was").isEmpty()
+        discard(near, labels)
+        labels = both
+        if not moved:
             break
     grouped = rows.select(F.col(order).alias("row"), F.col(url).alias("u"), F.col(text_hash).alias("t")).join(labels, "row")
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..shared import materialise
 
@@ -20,10 +23,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def distance2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def cosine(a: Column, b: Column) -> Column:
     scale = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(scale > 0, dot(a, b) / scale).otherwise(0.0)
@@ -46,11 +45,25 @@ def centers_frame(spark, centers: np.ndarray) -> DataFrame:
 
 
 def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
-    """vectors(doc_id, vec) with cluster_id: the nearest center, the smallest id of equals. Centers, a few hundred at most, meet each row as one
-    array, so that no row is multiplied."""
-    every = centers.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "center"))).alias("centers"))
-    nearest = F.array_min(F.transform("centers", lambda c: F.struct(F.round(distance2(F.col("vec"), c["center"]), 12).alias("d"), c["cluster_id"].alias("id"))))
-    return vectors.crossJoin(F.broadcast(every)).withColumn("cluster_id", nearest["id"]).drop("centers")
+    """vectors(doc_id, vec, ...) with cluster_id: the nearest center, the smallest id of equals (to 12 digits); null without a vector. Centers, a few
+    hundred at most, go to every task, which takes a batch of vectors times all of them in one product."""
+    rows = centers.select("cluster_id", "center").orderBy("cluster_id").collect()
+    ids, matrix = pa.array([r["cluster_id"] for r in rows], pa.int32()), np.array([r["center"] for r in rows], np.float64)
+    shared = vectors.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            column = batch.column("vec")
+            there = np.nonzero(column.is_valid().to_numpy(zero_copy_only=False))[0]
+            nearest = np.full(batch.num_rows, -1)
+            for at in range(0, len(there), 4096):
+                part = there[at : at + 4096]
+                x = column.take(pa.array(part)).flatten().to_numpy().astype(np.float64).reshape(len(part), -1)
+                nearest[part] = np.round((x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None], 12).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids.take(pa.array(nearest, mask=nearest < 0))], names=[*batch.schema.names, "cluster_id"])
+
+    return vectors.mapInArrow(run, StructType([*vectors.schema.fields, StructField("cluster_id", IntegerType())]))
 
 
 def label_centroids(labelled: DataFrame) -> DataFrame:

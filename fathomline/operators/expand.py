@@ -41,13 +41,33 @@ def query_lengths(terms: DataFrame) -> DataFrame:
     return terms.groupBy("query_id").agg(F.sum("qtf").alias("query_len"))
 
 
-def candidates(index: Index, terms: DataFrame, stemmer: str = "none") -> DataFrame:
-    """query_id, term, idf: of all terms those that may expand each query."""
+def admit(rows: DataFrame, index: Index, terms: DataFrame, column: str = "term", stemmer: str = "none") -> DataFrame:
+    """rows(query_id, column, ...) with idf: those whose term may expand the query.
+
+    Each row's term meets its document frequency in a join; there is never a row for each query and term of the index."""
+    n = F.broadcast(index.stats.select("n_docs"))
+    known = index.terms.select(F.col("term").alias("_term"), "df")
+    met = rows.join(known, F.col(column) == F.col("_term")).join(query_lengths(terms), "query_id").crossJoin(n)
+    allowed = met.withColumn("term", F.col("_term")).where(candidate_terms(known, F.col("n_docs"), F.col("query_len"), stemmer))
+    own = terms.select(F.col("query_id").alias("_query"), F.col("term").alias("_own"))
+    new = allowed.join(own, (F.col("query_id") == F.col("_query")) & (F.col("_term") == F.col("_own")), "left_anti")
+    return new.select(*rows.columns, idf(F.col("df"), F.col("n_docs")).alias("idf"))
+
+
+def candidate_totals(index: Index, terms: DataFrame, stemmer: str = "none") -> DataFrame:
+    """query_id, n, idf_sum: how many terms of the index may expand a query, and the sum of their idf. Terms are counted once for each
+    length that queries have, and a query's own terms are taken off."""
     n = F.broadcast(index.stats.select("n_docs"))
-    lengths = query_lengths(terms).groupBy("query_len").agg(F.collect_list("query_id").alias("queries"))  # a row a length
-    pairs = index.terms.crossJoin(n).join(F.broadcast(lengths), candidate_terms(index.terms, F.col("n_docs"), F.col("query_len"), stemmer))
-    pairs = pairs.select(F.explode("queries").alias("query_id"), "term", idf(F.col("df"), F.col("n_docs")).alias("idf"))
-    return pairs.join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti")
+    lengths = query_lengths(terms)
+    each = F.broadcast(lengths.select("query_len").distinct())  # no more rows than words of a query
+    weight = idf(F.col("df"), F.col("n_docs"))
+    may = candidate_terms(index.terms, F.col("n_docs"), F.col("query_len"), stemmer)
+    totals = index.terms.crossJoin(n).join(each, may).groupBy("query_len").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("idf_sum"))
+    own = terms.select("query_id", "term").distinct().join(index.terms, "term").join(lengths, "query_id").crossJoin(n).where(may)
+    own = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("own_n"), F.sum(weight).alias("own_sum"))
+    left = lengths.join(totals, "query_len").join(own, "query_id", "left")
+    less = lambda a, b: F.col(a) - F.coalesce(F.col(b), F.lit(0))
+    return left.select("query_id", less("n", "own_n").alias("n"), less("idf_sum", "own_sum").alias("idf_sum")).where("n > 0")
 
 
 def local_tf(index: Index, local: DataFrame) -> DataFrame:
@@ -88,10 +108,10 @@ def metric(docs: DataFrame, local: DataFrame, terms: DataFrame, stemmer: str = "
     return pairs.groupBy("query_id", "u", "v").agg(F.sum(1.0 / F.abs(F.col("pu") - F.col("pv"))).alias("raw"))
 
 
-def neighbours(raw: DataFrame, allowed: DataFrame, m: int) -> DataFrame:
-    """query_id, term, score: raw(query_id, u, v, raw) times idf for the allowed(query_id, term, idf); of each query term the m best, and of a
-    term that several chose its best score."""
-    scored = raw.where("raw > 0").join(allowed.withColumnRenamed("term", "v"), ["query_id", "v"]).withColumn("score", F.col("raw") * F.col("idf"))
+def neighbours(raw: DataFrame, m: int | Column) -> DataFrame:
+    """query_id, term, score: raw times idf of admitted rows(query_id, u, v, raw, idf); of each query term the m best, and of a term that
+    several chose its best score."""
+    scored = raw.where("raw > 0").withColumn("score", F.col("raw") * F.col("idf"))
     order = Window.partitionBy("query_id", "u").orderBy(F.round("score", DIGITS).desc(), "v")
     best = scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= m)
     return best.groupBy("query_id", F.col("v").alias("term")).agg(F.max("score").alias("score"))
@@ -112,7 +132,7 @@ def rocchio(index: Index, terms: DataFrame, feedback: DataFrame, alpha: float =
     vectors = index.postings.join(factors, "doc_id").join(index.terms, "term").crossJoin(F.broadcast(index.stats.select("n_docs")))
     moved = vectors.select("query_id", "term", (F.col("factor") * tfidf_weight(F.col("tf"), F.col("df"), F.col("n_docs"))).alias("w"))
     moved = moved.unionByName(terms.select("query_id", "term", (F.lit(alpha) * F.col("qtf")).alias("w"))).groupBy("query_id", "term").agg(F.sum("w").alias("score"))
-    return expansion(moved.join(candidates(index, terms, stemmer).select("query_id", "term"), ["query_id", "term"]), most)
+    return expansion(admit(moved.where("score > 0"), index, terms, stemmer=stemmer), most)
 
 
 def pseudo_feedback(ranked: DataFrame) -> DataFrame:
@@ -158,6 +178,7 @@ def correct_terms(query_words: DataFrame, terms: DataFrame, stemmer: str = "port
     Each unknown stem meets only the vocabulary of lengths that can reach the cutoff, in blocks of the vocabulary; the best of all blocks counts."""
     stems = tx.stem_vocabulary(query_words.select(F.col("token").alias("term")).distinct(), stemmer)
     rows = query_words.join(stems.withColumnRenamed("term", "token"), "token")
+    rows = rows.withColumn("stem", F.when(F.col("token").isin(*words.STOP_WORDS), F.col("token")).otherwise(F.col("stem")))  # stop words have no stem
     known = terms.select(F.col("term").alias("stem"))
     unknown = rows.select("stem").distinct().join(known, "stem", "left_anti")
     bands = unknown.select("stem", F.explode(F.sequence(F.ceil(F.length("stem") * CUTOFF / (2 - CUTOFF)), F.floor(F.length("stem") * (2 - CUTOFF) / CUTOFF))).alias("n"))
@@ -173,6 +194,42 @@ def correct_terms(query_words: DataFrame, terms: DataFrame, stemmer: str = "port
     return rows.join(fixed, "stem", "left").select("query_id", "place", "token", F.coalesce("fixed", "stem").alias("term"))
 
 
+def natural_words(surfaces: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """stem, natural: how a stem is shown. Its lemma, if lemmas(surface, lemma) has one for its most frequent form that is a word and
+    another than the stem; else that form, if it is a word. Without a table of lemmas a stem is its own lemma."""
+    lower = surfaces.select("stem", F.lower(F.trim("surface")).alias("surface"))
+    shown = F.when(tx.is_display_word(F.col("surface")), F.col("surface"))
+    if lemmas is not None:
+        lower = lower.join(lemmas.select(F.lower("surface").alias("surface"), F.lower(F.trim("lemma")).alias("lemma")), "surface", "left")
+        shown = F.coalesce(F.when((F.col("lemma") != F.col("stem")) & tx.is_display_word(F.col("lemma")), F.col("lemma")), shown)
+    return lower.select("stem", shown.alias("natural")).where("natural is not null")
+
+
+def safe_stems(terms: DataFrame, stemmer: str = "porter") -> DataFrame:
+    """Terms that may stand for themselves where no word does."""
+    return terms.where(F.col("term").rlike("^[a-z]{3,24}$") & (F.col("df") >= 4) & ~F.col("term").isin(*stop_terms(stemmer))).select("term")
+
+
+def shown_queries(base: DataFrame, added: DataFrame, natural: DataFrame, safe: DataFrame, wanted: DataFrame, stemmer: str = "porter") -> DataFrame:
+    """query_id, query: the words to show for base(query_id, place, term) and added(query_id, rank, term), by display_query; wanted(query_id, m)
+    says how many neighbours were asked for, if any. A query's words go to one row."""
+    words_of = base.select("query_id", F.lit(0).alias("kind"), F.col("place").cast("int").alias("at"), "term").unionByName(added.select("query_id", F.lit(1).alias("kind"), F.col("rank").cast("int").alias("at"), "term"))
+    known = words_of.join(natural.withColumnRenamed("stem", "term"), "term", "left").join(safe.withColumn("safe", F.lit(True)), "term", "left")
+    rows = known.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("kind", "at", "term", "natural", F.coalesce("safe", F.lit(False)).alias("safe")))).alias("words"))
+
+    def run(pdfs):
+        for pdf in pdfs:
+            out = []
+            for found, m in zip(pdf["words"], pdf["m"], strict=True):
+                parts = [[w["term"] for w in found if w["kind"] == k] for k in (0, 1)]
+                names = {w["term"]: w["natural"] for w in found if w["natural"]}
+                out.append(display_query(*parts, names, {w["term"] for w in found if w["safe"]}, None if m is None or m != m else int(m), stemmer))
+            yield pdf[["query_id"]].assign(query=out)
+
+    kind = dict(base.dtypes)["query_id"]
+    return rows.join(wanted, "query_id", "left").select("query_id", "words", "m").mapInPandas(run, f"query_id {kind}, query string")
+
+
 def display_query(base: list[str], new: list[str], natural: dict[str, str], safe: set[str], m: int | None = None, stemmer: str = "porter") -> str:
     """The words to show for base and new stems: natural forms, one of each family; a few safe stems may stand for themselves (one, or none if m is 6
     or more; base stems always)."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialise
+from ..shared import discard, materialise
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 100, 1e-6
 HITS_ROUNDS, ROOT_SIZE, NEIGHBOURS = 50, 200, 50
@@ -60,11 +61,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
     if not n:
         return nodes.select("id", F.lit(0.0).alias("score"))
     shares = materialise(edges.join(degree, "src").select("src", "dst", "degree"), "pr-shares")
-    scores, lost = nodes.withColumn("score", F.lit(1.0 / n)), sinks / n
+    scores, lost, both = nodes.withColumn("score", F.lit(1.0 / n)), sinks / n, None
     for _ in range(rounds):
         sent = shares.join(scores, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
         new = damping * (F.coalesce("got", F.lit(0.0)) + lost / n) + (1 - damping) / n
-        both = materialise(scores.join(sent, F.col("id") == F.col("to"), "left").select("id", "sink", F.col("score").alias("was"), new.alias("score")), "pr-scores")
+        last, both = both, materialise(scores.join(sent, F.col("id") == F.col("to"), "left").select("id", "sink", F.col("score").alias("was"), new.alias("score")), "pr-scores")
+        if last is not None:
+            discard(last)
         scores = both.select("id", "sink", "score")
         moved, lost = both.agg(F.sum(F.abs(F.col("score") - F.col("was"))), F.coalesce(F.sum(F.when(F.col("sink"), F.col("score"))), F.lit(0.0))).first()
         if tolerance is not None and moved < tolerance:
@@ -114,9 +117,11 @@ def hits_scores(ids: np.ndarray, src: np.ndarray, dst: np.ndarray, rounds: int =
 def hits(base: DataFrame, edges: DataFrame, rounds: int = HITS_ROUNDS, tolerance: float | None = TOLERANCE) -> DataFrame:
     """query_id, doc_id, authority, hub. A query's base set has at most 200 * 101 nodes, so that one task holds it.
 
-    Queries share most of a small graph: each node of a base set takes its list of targets along as one array, and the task drops those
-    outside the set. Joining edges with base sets on both ends would make a row for each query and edge."""
-    lists = edges.groupBy("src").agg(F.collect_list("dst").alias("out"))  # a page's links
+    Only edges between nodes of some base set count. Each node takes its targets among these along as one array, no longer than the
+    base sets together, and the task drops those outside its own set: queries that share pages make no row for each query and edge."""
+    some = base.select("doc_id").distinct()
+    inner = edges.join(some.withColumnRenamed("doc_id", "src"), "src", "left_semi").join(some.withColumnRenamed("doc_id", "dst"), "dst", "left_semi")
+    lists = inner.groupBy("src").agg(F.collect_list("dst").alias("out"))
     rows = base.select("query_id", "doc_id").join(lists, F.col("doc_id") == F.col("src"), "left").select("query_id", "doc_id", "out")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,6 +160,20 @@ def hubs_and_authorities(nodes: DataFrame, edges: DataFrame, most: int = 10) ->
     return out[0].unionByName(out[1])
 
 
+def graph_page(edges: DataFrame, path: str, title: str = "Graph") -> None:
+    """A page with a drawing of edges(src, dst), nodes on a circle in the order of their ids, that shows a node's links on pointing at it. For
+    a subgraph that is small enough to look at, such as degree_subgraph's, whose rows come to the driver."""
+    pairs = sorted({(r["src"], r["dst"]) for r in edges.select("src", "dst").collect()})
+    ids = sorted({x for p in pairs for x in p})
+    at = {x: (500 + 470 * np.cos(2 * np.pi * k / len(ids)), 500 + 470 * np.sin(2 * np.pi * k / len(ids))) for k, x in enumerate(ids)}
+    lines = "".join(f'<line class="n{a} n{b}" x1="{at[a][0]:.1f}" y1="{at[a][1]:.1f}" x2="{at[b][0]:.1f}" y2="{at[b][1]:.1f}"/>' for a, b in pairs)
+    dots = "".join(f'<circle data-id="{x}" cx="{at[x][0]:.1f}" cy="{at[x][1]:.1f}" r="4"><title>{x}</title></circle>' for x in ids)
+    script = "document.querySelectorAll('circle').forEach(c=>{const ls=document.querySelectorAll('.n'+c.dataset.id);c.onmouseenter=()=>ls.forEach(l=>l.classList.add('on'));c.onmouseleave=()=>ls.forEach(l=>l.classList.remove('on'))})"
+    style = "line{stroke:#999;stroke-opacity:.25}line.on{stroke:#c30;stroke-opacity:1}circle{fill:#246}"
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'<!doctype html><title>{html.escape(title)}</title><style>{style}</style><svg viewBox="0 0 1000 1000">{lines}{dots}</svg><script>{script}</script>')
+
+
 def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without edges out, and those without any."""
     d = degrees(nodes, edges)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ..shared import materialise
 MAX_FEATURES, MIN_DF, MAX_DF, COMPONENTS, SEED = 25_000, 5, 0.40, 200, 42
 #: Extra directions and rounds of the randomised decomposition.
 EXTRA, POWER = 10, 2
+#: Rows of a result that tasks add up together.
+ROWS = 500
 
 
 def gram_words(text: Column) -> Column:
@@ -54,11 +57,26 @@ def tfidf_vectors(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return rows.withColumn("norm", norm).select("doc_id", F.transform("x", lambda e: e["term_id"]).alias("ids"), F.transform("x", lambda e: e["w"] / F.col("norm")).alias("weights"))
 
 
+#: Rows of sparse vectors that are made dense at once, over the terms that they have.
+BLOCK = 256
+
+
+def _blocks(pdf: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """For blocks of rows of sparse vectors: which rows, the terms that they have, and their weights as a dense matrix over these."""
+    for at in range(0, len(pdf), BLOCK):
+        part = pdf.iloc[at : at + BLOCK]
+        lengths = [len(x) for x in part["ids"]]
+        terms, place = np.unique(np.concatenate([np.zeros(0, np.int64), *part["ids"]]).astype(np.int64), return_inverse=True)
+        dense = np.zeros((len(part), len(terms)))
+        dense[np.repeat(np.arange(len(part)), lengths), place] = np.concatenate([np.zeros(0), *part["weights"]])
+        yield slice(at, at + len(part)), terms, dense
+
+
 def _times(pdf: pd.DataFrame, m: np.ndarray) -> np.ndarray:
     """Rows of sparse vectors times a dense matrix."""
     out = np.zeros((len(pdf), m.shape[1]))
-    for r, (ids, weights) in enumerate(zip(pdf["ids"], pdf["weights"], strict=True)):
-        out[r] = np.asarray(weights) @ m[np.asarray(ids, dtype=np.int64)]
+    for rows, terms, dense in _blocks(pdf):
+        out[rows] = dense @ m[terms]
     return out
 
 
@@ -87,30 +105,37 @@ class Projection:
 
 
 def _gather(vectors: DataFrame, left: np.ndarray | None, right: np.ndarray, n: int) -> np.ndarray:
-    """Sum over rows x of vectors of (x left)' (x right), or of x' (x right): partial sums for each task, added up by row of the result."""
+    """Sum over rows x of vectors of (x left)' (x right), or of x' (x right). Each task adds up its rows; the tasks' sums are added up block of
+    rows by block of rows, first within groups of tasks."""
     shared = vectors.sparkSession.sparkContext.broadcast((left, right))
+    width, groups = right.shape[1], max(1, int(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = shared.value
-        total = np.zeros((n, b.shape[1]))
+        total = np.zeros((n, width))
         for pdf in batches:
-            y = _times(pdf, b)
             if a is not None:
-                total += _times(pdf, a).T @ y
+                total += _times(pdf, a).T @ _times(pdf, b)
                 continue
-            for ids, weights, row in zip(pdf["ids"], pdf["weights"], y, strict=True):
-                np.add.at(total, np.asarray(ids, dtype=np.int64), np.outer(np.asarray(weights), row))
-        some = np.nonzero(total.any(axis=1))[0]
-        for at in range(0, len(some), 2000):
-            yield pd.DataFrame({"i": some[at : at + 2000], "row": list(total[some[at : at + 2000]])})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [pdf["i"].iloc[0]], "row": [np.sum(np.stack(pdf["row"].to_list()), axis=0)]})
-
-    rows = vectors.mapInPandas(run, "i long, row array<double>").groupBy("i").applyInPandas(add, "i long, row array<double>").collect()  # n rows at most
-    out = np.zeros((n, right.shape[1]))
+            for _, terms, dense in _blocks(pdf):
+                total[terms] += dense.T @ (dense @ b[terms])
+        group = TaskContext.get().partitionId() % groups
+        for at in range(0, n, ROWS):
+            part = total[at : at + ROWS]
+            if part.any():
+                yield pd.DataFrame({"block": [at // ROWS], "part": [group], "sums": [part.astype("<f8").tobytes()]})
+
+    def add(key: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum(np.frombuffer(x, "<f8") for pdf in pdfs for x in pdf["sums"])
+        yield pd.DataFrame({"block": [key[0]], "part": [0], "sums": [total.tobytes()]})
+
+    schema = "block int, part int, sums binary"
+    rows = vectors.mapInPandas(run, schema).groupBy("block", "part").applyInPandas(add, schema)
+    rows = rows.groupBy("block").applyInPandas(add, schema).collect()  # n rows of the result at most
+    out = np.zeros((n, width))
     for r in rows:
-        out[r["i"]] = r["row"]
+        part = np.frombuffer(r["sums"], "<f8").reshape(-1, width)
+        out[r["block"] * ROWS : r["block"] * ROWS + len(part)] = part
     return out
 
 
