@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -31,15 +32,13 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []
+        self.count: Counter[str] = Counter()  # open elements of each name, so that no tag looks through all of them
+        self.dropping = 0  # open elements that are dropped
         self.parts: list[str] = []
         self.links: list[str] = []
         self.title: str | None = None
         self.tail = False
 
-    @property
-    def _dropping(self) -> bool:
-        return any(gone for _, gone in self.open)
-
     def handle_starttag(self, tag, attrs) -> None:
         self.tail = False
         found = dict(attrs)
@@ -50,6 +49,8 @@ class _Page(HTMLParser):
             self.tail = gone
         else:
             self.open.append((tag, gone))
+            self.count[tag] += 1
+            self.dropping += gone
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -57,9 +58,11 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag) -> None:
-        if any(t == tag for t, _ in self.open):
+        if self.count[tag]:
             while True:
                 t, gone = self.open.pop()
+                self.count[t] -= 1
+                self.dropping -= gone
                 if t == tag:
                     self.tail = gone
                     return
@@ -67,7 +70,7 @@ class _Page(HTMLParser):
     def handle_data(self, data) -> None:
         if self.title is None and self.open and self.open[-1][0] == "title":
             self.title = data.strip()
-        if not self.tail and not self._dropping:
+        if not self.tail and not self.dropping:
             self.parts.append(data)
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .stem import porter
+from .stem import english, porter
 
 #: Stemmers by name; add to it to make one available.
-STEMMERS: dict[str, Callable[[str], str]] = {"porter": porter, "none": lambda w: w}
+STEMMERS: dict[str, Callable[[str], str]] = {"english": english, "porter": porter, "none": lambda w: w}
 
 
 def tokenize(text: Column) -> Column:
