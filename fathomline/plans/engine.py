@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,21 @@ METHODS = ("tfidf", "bm25", "pagerank", "hits", "tfidf_pagerank", "tfidf_hits")
 #: What the service answers, and what a request may call it.
 SERVED = ("hits", "tfidf", "pagerank", "tfidf_pagerank", "tfidf_hits")
 ALIASES = {"combined": "pagerank"}
+#: Terms that an expansion adds at most.
+MOST_NEW = 5
 EXPANSIONS = ("rocchio", "association", "scalar", "metric")
 
 
+#: The most results that a request may ask for.
+BOUNDS = {"search": 100, "clustered": 50, "external": 20}
+
+
+def bounded(kind: str, top_k: int) -> int:
+    if not 1 <= top_k <= BOUNDS[kind]:
+        raise ValueError(f"top_k is from 1 to {BOUNDS[kind]}")
+    return top_k
+
+
 def method_named(name: str, served: bool = True) -> str:
     """The method that a request means; an unknown one is an error."""
     found = ALIASES.get(name.strip().lower(), name.strip().lower())
@@ -34,23 +47,27 @@ class SearchEngine:
     nodes: DataFrame
     edges: DataFrame
     ranks: DataFrame
-    stemmer: str = "porter"
+    surfaces: DataFrame
+    stemmer: str = "english"
+    lemmas: DataFrame | None = None
 
     @classmethod
-    def build(cls, pages: DataFrame, nodes: DataFrame, edges: DataFrame, stemmer: str = "porter", rounds: int = graph.ROUNDS) -> SearchEngine:
-        """Index and ranks, each written once to the shared folder."""
+    def build(cls, pages: DataFrame, nodes: DataFrame, edges: DataFrame, stemmer: str = "english", rounds: int = graph.ROUNDS, lemmas: DataFrame | None = None) -> SearchEngine:
+        """Index, ranks and the form that each stem is shown in, all written once to the shared folder. lemmas(surface, lemma) is optional."""
         edges = materialise(edges, "engine-edges")
-        return cls(index.build_index(pages, stemmer), nodes, edges, graph.pagerank(nodes, edges, rounds=rounds), stemmer)
+        surfaces = materialise(expand.stem_surfaces(pages, stemmer), "engine-surfaces")
+        return cls(index.build_index(pages, stemmer), nodes, edges, graph.pagerank(nodes, edges, rounds=rounds), surfaces, stemmer, lemmas)
 
     def save(self, path: str) -> None:
         store.save_index(self.index, f"{path}/index")
         store.save_graph(self.nodes, self.edges, f"{path}/graph")
-        store.save({"ranks": self.ranks}, path)
+        store.save({"ranks": self.ranks, "surfaces": self.surfaces}, path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, stemmer: str = "porter") -> SearchEngine:
+    def load(cls, spark: SparkSession, path: str, stemmer: str = "english", lemmas: DataFrame | None = None) -> SearchEngine:
         nodes, edges = store.load_graph(spark, f"{path}/graph")
-        return cls(store.load_index(spark, f"{path}/index"), nodes, edges, store.load(spark, path, "ranks")["ranks"], stemmer)
+        own = store.load(spark, path, "ranks", "surfaces")
+        return cls(store.load_index(spark, f"{path}/index"), nodes, edges, own["ranks"], own["surfaces"], stemmer, lemmas)
 
     # -- ranking
 
@@ -94,11 +111,19 @@ class SearchEngine:
     def local_docs(self, terms: DataFrame, k: int = expand.LOCAL_DOCS) -> DataFrame:
         return materialise(self.authorities(terms, k).select("query_id", "doc_id"), "engine-local")
 
-    def expand(self, queries: DataFrame, method: str = "association", m: int | None = None, most: int = 5, feedback: DataFrame | None = None) -> DataFrame:
+    def corrected(self, queries: DataFrame) -> DataFrame:
+        """query_id, place, term: a query's words as stems, misspelt ones corrected to the index's."""
+        tokens = queries.select("query_id", F.posexplode(tx.tokenize(F.col("query"))).alias("place", "token"))
+        return expand.correct_terms(tokens, self.index.terms, self.stemmer).select("query_id", "place", "term")
+
+    def expand(self, queries: DataFrame, method: str = "association", m: int | None = None, most: int = MOST_NEW, feedback: DataFrame | None = None) -> DataFrame:
         """query_id, rank, term, score: terms that the method adds. m: neighbours of each query term (none: 2 for short queries, else 6)."""
+        wanted = queries.select("query_id", F.lit(m).cast("int").alias("m") if m is not None else expand.neighbours_wanted(F.col("query")).alias("m"))
+        return self._added(materialise(self.terms(queries), "engine-terms-of"), wanted, method, most, feedback)
+
+    def _added(self, terms: DataFrame, wanted: DataFrame, method: str, most: int, feedback: DataFrame | None) -> DataFrame:
         if method not in EXPANSIONS:
             raise ValueError(f"unknown expansion {method!r}")
-        terms = materialise(self.terms(queries), "engine-terms-of")
         if method == "rocchio":
             return expand.rocchio(self.index, terms, feedback if feedback is not None else expand.pseudo_feedback(self.rank(terms, "tfidf", 3)), most=most, stemmer=self.stemmer)
         local = self.local_docs(terms)
@@ -106,42 +131,51 @@ class SearchEngine:
             raw = expand.metric(self.index.docs, local, terms, self.stemmer)
         else:
             tf = materialise(expand.local_tf(self.index, local), "engine-local-tf")
-            raw = expand.association(tf, terms) if method == "association" else expand.scalar(tf, terms)
-        allowed = expand.candidates(self.index, terms, self.stemmer)
-        if m is not None:
-            return expand.expansion(expand.neighbours(raw, allowed, m), most)
-        wanted = queries.select("query_id", expand.neighbours_wanted(F.col("query")).alias("m"))
-        raw = materialise(raw, "engine-raw")
-        parts = [expand.neighbours(raw.join(wanted.where(F.col("m") == n).select("query_id"), "query_id", "left_semi"), allowed, n) for n in (2, 6)]
-        return expand.expansion(parts[0].unionByName(parts[1]), most)
-
-    def expanded(self, queries: DataFrame, method: str = "association", **more) -> DataFrame:
-        """query_id, query: each query with the terms that were added; as it was if there are none."""
-        added = self.expand(queries, method, **more).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " ").alias("added"))
-        return queries.join(added, "query_id", "left").select("query_id", F.concat_ws(" ", "query", "added").alias("query"))
+            raw = expand.association(tf, terms, normalized=True) if method == "association" else expand.scalar(tf, terms)
+        admitted = expand.admit(raw, self.index, terms, "v", self.stemmer).join(wanted, "query_id")
+        return expand.expansion(expand.neighbours(admitted, F.col("m")), most)
+
+    def expanded(self, queries: DataFrame, method: str = "association", most: int = MOST_NEW, feedback: DataFrame | None = None) -> DataFrame:
+        """query_id, query: what is searched for instead. Words are corrected, the corrected query is expanded, and both are shown in natural
+        forms. A query without local documents stays as corrected stems, one without words as it is."""
+        base = materialise(self.corrected(queries), "engine-corrected")
+        normal = base.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), " ").alias("normal"))
+        normal = materialise(queries.join(normal, "query_id", "left").select("query_id", F.col("query").alias("asked"), F.coalesce("normal", "query").alias("query")), "engine-normal")
+        wanted = normal.select("query_id", expand.neighbours_wanted(F.col("asked")).alias("m"))
+        terms = materialise(self.terms(normal), "engine-terms-of")
+        added = materialise(self._added(terms, wanted, method, most, feedback), "engine-added")
+        known = terms if method == "rocchio" else terms.join(self.index.terms, "term", "left_semi")  # else there is no local document
+        if method == "rocchio":
+            wanted = wanted.withColumn("m", F.lit(None).cast("int"))
+        shown = expand.shown_queries(base, added, expand.natural_words(self.surfaces, self.lemmas), expand.safe_stems(self.index.terms, self.stemmer), wanted, self.stemmer)
+        shown = shown.join(known.select("query_id").distinct(), "query_id", "left_semi").withColumnRenamed("query", "shown")
+        return normal.join(shown, "query_id", "left").select("query_id", F.coalesce("shown", "query").alias("query"))
 
     def expand_and_search(self, queries: DataFrame, method: str = "association", search: str = "hits", k: int = 10, **more) -> DataFrame:
         return self.search(materialise(self.expanded(queries, method, **more), "engine-expanded"), search, k)
 
     # -- single requests
 
-    def answer(self, query: str, method: str = "hits", top_k: int = 10) -> dict:
-        """The service's envelope for one query."""
+    def _asked(self, query: str) -> DataFrame:
         if not query.strip():
             raise ValueError("the query is empty")
-        if not 1 <= top_k <= 100:
-            raise ValueError("top_k is from 1 to 100")
-        began = time.perf_counter()
-        spark = self.index.docs.sparkSession
-        asked = spark.range(1).select(F.lit("q").alias("query_id"), F.lit(query).alias("query"))
-        rows = self.search(asked, method_named(method), top_k).orderBy("rank").collect()  # top_k rows at most
+        return self.index.docs.sparkSession.range(1).select(F.lit("q").alias("query_id"), F.lit(query).alias("query"))
+
+    def _envelope(self, began: float, found: DataFrame, **more) -> dict:
+        rows = found.orderBy("rank").collect()  # top_k rows at most
         results = [{c: r[c] for c in ("rank", "doc_id", "score", "url", "title", "snippet")} for r in rows]
-        return {"status": "success", "query": query, "method": method_named(method), "total_results": len(results), "execution_time_ms": round(1000 * (time.perf_counter() - began), 3), "results": results}
-
-    def display(self, query: str, new: list[str], m: int | None = None) -> str:
-        """The words to show for a query and its new stems, by the most frequent forms in previews."""
-        base = tx.analyze(query, self.stemmer)
-        wanted = {*base, *new}
-        surfaces = expand.stem_surfaces(self.index.docs.select(F.col("text_preview").alias("text")), self.stemmer).where(F.col("stem").isin(*wanted) & F.col("surface").rlike("^[a-z]{3,}$")).collect()
-        safe = self.index.terms.where(F.col("term").isin(*wanted) & (F.col("df") >= 4) & F.col("term").rlike("^[a-z]{3,24}$")).collect()
-        return expand.display_query(base, new, {r["stem"]: r["surface"] for r in surfaces}, {r["term"] for r in safe} - set(expand.stop_terms(self.stemmer)), m, self.stemmer)
+        return {"status": "success", **more, "metadata": {"total_results": len(results), "execution_time_ms": round(1000 * (time.perf_counter() - began), 2)}, "results": results}
+
+    def answer(self, query: str, method: str = "hits", top_k: int = 10) -> dict:
+        """The service's envelope for one query."""
+        began, top_k = time.perf_counter(), bounded("search", top_k)
+        return self._envelope(began, self.search(self._asked(query), method_named(method), top_k))
+
+    def answer_expanded(self, query: str, method: str = "association", search: str = "hits", top_k: int = 10, relevant: Sequence[int] = (), irrelevant: Sequence[int] = ()) -> dict:
+        """The envelope of a query that is expanded first. Rocchio moves towards the relevant documents, if any are given."""
+        began, top_k = time.perf_counter(), bounded("search", top_k)
+        asked = self._asked(query)
+        judged = [("q", int(d), good) for ids, good in ((relevant, True), (irrelevant, False)) for d in ids]
+        feedback = asked.sparkSession.createDataFrame(judged, "query_id string, doc_id long, relevant boolean") if method == "rocchio" else None
+        wider = materialise(self.expanded(asked, method, feedback=feedback), "engine-expanded")
+        return self._envelope(began, self.search(wider, method_named(search), top_k), original_query=query, expanded_query=wider.first()["query"])

@@ -12,6 +12,8 @@ from ..shared import materialise
 from .engine import SearchEngine
 
 METHODS = ("association", "scalar", "metric")
+#: What an evaluation compares.
+EVALUATED = ("rocchio", "association", "scalar", "metric")
 #: Neighbours of a query term that a report shows.
 SHOWN = 12
 
@@ -41,7 +43,7 @@ def local_vocabulary(engine: SearchEngine, local: DataFrame) -> DataFrame:
     return docs.join(sums, "query_id")
 
 
-def before_and_after(engine: SearchEngine, queries: DataFrame, methods=METHODS, search: str = "hits", k: int = 10) -> DataFrame:
+def before_and_after(engine: SearchEngine, queries: DataFrame, methods=EVALUATED, search: str = "hits", k: int = 10) -> DataFrame:
     """method, query_id, kept, new: of each query's first k results, those that expansion leaves and those that it brings."""
     plain = materialise(engine.rank(engine.terms(queries), search, k).select("query_id", "doc_id"), "report-before")
     out = None

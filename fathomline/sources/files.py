@@ -98,6 +98,17 @@ def external_params(query: str, engine: str, key: str, most: int = 10) -> dict[s
     return {"engine": engine, "q": query, "num": str(most), "api_key": key}
 
 
+def read_env(path: str | Path) -> dict[str, str]:
+    """Names and values of a file of NAME=value lines; blank lines and comments are passed over, quotes around a value dropped. No file, no
+    names. For settings that a session doesn't give: shared.setting comes first."""
+    path, out = Path(path), {}
+    for line in path.read_text(encoding="utf-8").splitlines() if path.exists() else ():
+        name, equals, value = line.partition("=")
+        if equals and name.strip() and not name.lstrip().startswith("#"):
+            out.setdefault(name.strip(), value.strip().strip("\"'"))
+    return out
+
+
 def read_json(path: str | Path) -> Any:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 

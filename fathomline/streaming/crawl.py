@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..functions import text as tx
 from ..functions import urls
@@ -127,6 +128,47 @@ def new_urls(links: DataFrame, visited: DataFrame) -> DataFrame:
     return links.withColumn("key", urls.visited_url_of(F.col("url"))).join(seen, "key", "left_anti").dropDuplicates(["key"]).select("url")
 
 
+def first_visits(pages: DataFrame, order: str) -> DataFrame:
+    """pages with `fresh`: whether no page before it, in the given order, has its URL. The whole history in one pass, as a visited set sees it."""
+    key = urls.visited_url_of(F.col("url"))
+    first = pages.select(key.alias("_key"), order).groupBy("_key").agg(F.min(order).alias("_first"))
+    return pages.withColumn("_key", key).join(first, "_key").withColumn("fresh", F.col(order) == F.col("_first")).drop("_key", "_first")
+
+
+class Progress(StreamingQueryListener):
+    """Pages so far, pages a second and seconds left of a crawl that arrives as a stream; `say` is told every `every` pages, and at the end."""
+
+    def __init__(self, target: int = TARGET_PAGES, every: int = 500, say: Callable[[str], None] = print) -> None:
+        self.target, self.every, self.say = target, every, say
+        self.began, self.pages, self.told = time.monotonic(), 0, 0
+
+    def line(self) -> str:
+        rate = self.pages / max(time.monotonic() - self.began, 1e-9)
+        left = max(self.target - self.pages, 0) / rate if rate else float("inf")
+        return f"{self.pages} pages, {rate:.1f} a second, {left:.0f} s left of {self.target}"
+
+    def onQueryStarted(self, event) -> None:
+        self.began = time.monotonic()
+
+    def onQueryProgress(self, event) -> None:
+        self.pages += event.progress.numInputRows
+        if self.pages - self.told >= self.every:
+            self.told = self.pages
+            self.say(self.line())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.say(self.line())
+
+
+def counted(pages: DataFrame, name: str = "crawl") -> tuple[DataFrame, Observation]:
+    """The same pages, and what is counted of them on their way: pages, accepted (status 200), last depth."""
+    seen = Observation(name)
+    return pages.observe(seen, F.count(F.lit(1)).alias("pages"), F.count_if(F.col("status") == 200).alias("accepted"), F.max("depth").alias("depth")), seen
+
+
 def arriving_pages(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the page files that come into a folder."""
     return spark.readStream.schema(PAGES).json(folder).where("status = 200")
