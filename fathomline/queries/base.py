@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import words
 from ..operators.index import Index, build_index
 from ..operators.rank import query_terms
+from ..plans.engine import SearchEngine
+from ..shared import file_stamp, shared_path
+from ..sources import store
 
 K = 10
 #: PageRank and HITS rounds where a query and its SQL take a fixed number.
@@ -24,8 +29,39 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", url.alias("url"), F.lit("").alias("title"), "text", F.lit("text/html").alias("content_type"), F.lit(200).alias("status"), F.lit(1).alias("depth"))
 
 
-def index_of(spark: SparkSession, sf: str) -> Index:
-    return build_index(corpus(spark, sf))
+_stored: dict[tuple, str] = {}
+
+
+def _stored_once(spark: SparkSession, sf: str, what: str, build: Callable[[str], None], *tables: str) -> str:
+    """Where the tables that `build` writes are kept: they are written once for a session and a state of the files that they are made of."""
+    stamps = (file_stamp(spark, f"{sf}/{t}.parquet") for t in tables)
+    key = (spark.sparkContext.applicationId, sf, what, *stamps)
+    if key not in _stored:
+        path = shared_path(spark, what)
+        build(path)
+        _stored[key] = path
+    return _stored[key]
+
+
+def index_of(spark: SparkSession, sf: str, stemmer: str = "none") -> Index:
+    """The stored index of the corpus: queries read it, the first of a session builds it."""
+    path = _stored_once(spark, sf, f"index-{stemmer}", lambda p: store.save_index(build_index(corpus(spark, sf), stemmer), p), "documents")
+    return store.load_index(spark, path)
+
+
+def engine_of(spark: SparkSession, sf: str, stemmer: str = "none") -> SearchEngine:
+    """The stored search engine over the corpus and the graph of its documents."""
+    build = lambda p: SearchEngine.build(corpus(spark, sf), *doc_graph(spark, sf), stemmer=stemmer).save(p)
+    path = _stored_once(spark, sf, f"engine-{stemmer}", build, "documents", "lineitem", "part")
+    return SearchEngine.load(spark, path, stemmer)
+
+
+def mixed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus as a crawl may find it: some pages with another status or type, without a URL, or with that of the page before."""
+    every = lambda n: F.col("doc_id") % n == 0
+    pages = corpus(spark, sf).withColumn("url", F.when(every(23), "").otherwise(F.col("url")))
+    kind = F.when(every(13), "application/pdf").otherwise(F.lit(" Text/HTML ; charset=utf-8"))
+    return pages.withColumn("status", F.when(every(11), 404).otherwise(200)).withColumn("content_type", kind)
 
 
 def queries_of(spark: SparkSession, sf: str) -> DataFrame:

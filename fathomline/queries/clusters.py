@@ -41,7 +41,7 @@ def ctfidf_names(spark, sf):
 def gram_vocabulary(spark, sf):
     counts = vectors.gram_counts(b.table(spark, sf, "documents").select("doc_id", "text"))
     n = b.table(spark, sf, "documents").count()
-    return vectors.fit_vocabulary(counts, n, 2000).select("term_id", "term", "df", F.round("idf", 9).alias("idf"))
+    return vectors.fit_vocabulary(counts, n).select("term_id", "term", "df", F.round("idf", 9).alias("idf"))
 
 
 def cluster_reps(spark, sf):
@@ -139,24 +139,30 @@ def kmeans_flat(spark, sf):
 
 
 def agglomerative_labels(spark, sf):
+    """Labels of all embeddings by both linkages of mini-clusters."""
     v = materialise(_vectors(spark, sf).drop("cluster_id"), "merge-vectors")
-    centers = cluster.fit_kmeans(v, 40, rounds=20)
+    centers = cluster.fit_kmeans(v, min(cluster.MINI_CLUSTERS, v.count()))
     mini = materialise(cluster.assign(v, cluster.centers_frame(spark, centers)), "merge-mini")
-    labelled, _, _ = cluster.fit_agglomerative(v, mini, centers, "complete", (8, 12))
-    return labelled.select("doc_id", "cluster_id")
+    parts = [cluster.fit_agglomerative(v, mini, centers, linkage)[0].select(F.lit(linkage).alias("method"), "doc_id", "cluster_id") for linkage in ("ward", "complete")]
+    return parts[0].unionByName(parts[1])
 
 
 def text_projection(spark, sf):
-    """Documents projected to twenty directions of their TF-IDF vectors."""
+    """Documents projected to the directions of their TF-IDF vectors."""
+    texts = b.table(spark, sf, "documents").select("doc_id", "text")
+    return vectors.fit_projection(texts).transform(texts)
+
+
+def query_projection(spark, sf):
+    """Queries in the space of the documents."""
     texts = b.table(spark, sf, "documents").select("doc_id", "text")
-    return vectors.fit_projection(texts, 2000, components=20).transform(texts)
+    queries = b.queries_of(spark, sf).select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
+    return vectors.fit_projection(texts).transform(queries).withColumnRenamed("doc_id", "query_id")
 
 
 def cluster_build(spark, sf):
-    """A whole build over the documents that the corpus filters keep, with small parameters."""
-    pages = b.corpus(spark, sf)
-    built = plan.build(pages, "build", plan.Config(max_features=1000, components=10, flat_k=(4, 6), merged_k=(4, 6), mini_clusters=32))
-    return built.catalogs.select("method", "cluster_id", "name", "size")
+    """A whole build over the documents that the corpus filters keep."""
+    return plan.build(b.corpus(spark, sf), "build").catalogs.select("method", "cluster_id", "name", "size")
 
 
 def cluster_experiment(spark, sf):
@@ -171,7 +177,7 @@ def cluster_experiment(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     cluster_centroids, nearest_centroid, ctfidf_names, gram_vocabulary, cluster_reps, cluster_catalog, score_normalization, cluster_rerank, cluster_facets, judged_metrics, system_means, auto_metrics,
-    judgment_pool, last_judgments, example_pick, drill_down, best_k, kmeans_flat, agglomerative_labels, text_projection, cluster_build, cluster_experiment,
+    judgment_pool, last_judgments, example_pick, drill_down, best_k, kmeans_flat, agglomerative_labels, text_projection, query_projection, cluster_build, cluster_experiment,
 )}
 
 _V = "v AS (SELECT vec_id AS doc_id, embedding AS vec, label AS cluster_id FROM embeddings)"
@@ -223,7 +229,7 @@ ORACLE_SQL = {
     "cluster_centroids": f"WITH {_CENTERS} SELECT cluster_id, dim, round(x, 8) AS x FROM cx",
     "nearest_centroid": f"WITH {_CENTERS} SELECT doc_id, cluster_id FROM (SELECT doc_id, c.cluster_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(list_distance(vec::DOUBLE[], center) ** 2, 12), c.cluster_id) AS n FROM v, ctr c) WHERE n = 1",
     "ctfidf_names": f"WITH {_NAMES} SELECT cluster_id, coalesce(name, 'cluster ' || cluster_id) AS name FROM ct LEFT JOIN nm USING (cluster_id)",
-    "gram_vocabulary": f"WITH {_GRAMS}, p AS (SELECT term, count(*) AS df, sum(tf) AS total FROM gc GROUP BY ALL HAVING df >= 5 AND df <= 0.4 * (SELECT count(*) FROM documents)), t AS (SELECT * FROM p ORDER BY total DESC, term LIMIT 2000) SELECT (row_number() OVER (ORDER BY term) - 1)::INT AS term_id, term, df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1, 9) AS idf FROM t",
+    "gram_vocabulary": f"WITH {_GRAMS}, p AS (SELECT term, count(*) AS df, sum(tf) AS total FROM gc GROUP BY ALL HAVING df >= 5 AND df <= 0.4 * (SELECT count(*) FROM documents)), t AS (SELECT * FROM p ORDER BY total DESC, term LIMIT {vectors.MAX_FEATURES}) SELECT (row_number() OVER (ORDER BY term) - 1)::INT AS term_id, term, df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1, 9) AS idf FROM t",
     "cluster_reps": f"WITH {_CENTERS} {_REPS}",
     "cluster_catalog": f"WITH {_NAMES} SELECT cluster_id, coalesce(name, 'cluster ' || cluster_id) AS name, count(*) AS size, least(3, count(*))::INT AS n_reps FROM v LEFT JOIN nm USING (cluster_id) GROUP BY cluster_id, name",
     "score_normalization": f"WITH {_HITS} SELECT query_id, doc_id, round(normalized, 6) AS normalized FROM nh",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import expand, index, rank
-from ..plans import engine, reports
+from ..operators import expand, rank
+from ..plans import engine, reports, service
 from ..shared import materialise
 from . import base as b
 
@@ -24,8 +24,7 @@ def _shown(df):
 
 
 def candidate_terms(spark, sf):
-    i, terms = b.index_of(spark, sf), b.terms_of(spark, sf)
-    return expand.candidates(i, terms).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("idf"), 3).alias("idf_sum"))
+    return expand.candidate_totals(b.index_of(spark, sf), b.terms_of(spark, sf)).withColumn("idf_sum", F.round("idf_sum", 3))
 
 
 def local_term_counts(spark, sf):
@@ -36,25 +35,25 @@ def local_term_counts(spark, sf):
 def assoc_terms(spark, sf):
     i, terms, local = _parts(spark, sf)
     raw = expand.association(expand.local_tf(i, local), terms)
-    return _shown(expand.expansion(expand.neighbours(raw, expand.candidates(i, terms), M), MOST))
+    return _shown(expand.expansion(expand.neighbours(expand.admit(raw, i, terms, "v"), M), MOST))
 
 
 def assoc_normalized(spark, sf):
     i, terms, local = _parts(spark, sf)
     raw = expand.association(expand.local_tf(i, local), terms, normalized=True)
-    return _shown(expand.expansion(expand.neighbours(raw, expand.candidates(i, terms), M), MOST))
+    return _shown(expand.expansion(expand.neighbours(expand.admit(raw, i, terms, "v"), M), MOST))
 
 
 def scalar_terms(spark, sf):
     i, terms, local = _parts(spark, sf)
     raw = expand.scalar(expand.local_tf(i, local), terms)
-    return _shown(expand.expansion(expand.neighbours(raw, expand.candidates(i, terms), M), MOST))
+    return _shown(expand.expansion(expand.neighbours(expand.admit(raw, i, terms, "v"), M), MOST))
 
 
 def metric_terms(spark, sf):
     i, terms, local = _parts(spark, sf)
     raw = expand.metric(i.docs, local, terms)
-    return _shown(expand.expansion(expand.neighbours(raw, expand.candidates(i, terms), M), MOST))
+    return _shown(expand.expansion(expand.neighbours(expand.admit(raw, i, terms, "v"), M), MOST))
 
 
 def rocchio_terms(spark, sf):
@@ -85,8 +84,7 @@ def metric_table(spark, sf):
 
 def expansion_evaluation(spark, sf):
     """For each expansion, how many of a query's first ten results stay and how many are new."""
-    e = engine.SearchEngine.build(b.corpus(spark, sf), *b.doc_graph(spark, sf), stemmer="none", rounds=b.ROUNDS)
-    return reports.before_and_after(e, b.queries_of(spark, sf), ("association", "metric"))
+    return reports.before_and_after(b.engine_of(spark, sf, "english"), b.queries_of(spark, sf))
 
 
 def neighbours_wanted(spark, sf):
@@ -94,15 +92,14 @@ def neighbours_wanted(spark, sf):
 
 
 def autocorrect_vocabulary(spark, sf):
-    return expand.correction_vocabulary(index.document_frequency(index.term_counts(b.corpus(spark, sf))))
+    return expand.correction_vocabulary(b.index_of(spark, sf).terms)
 
 
 def spell_correct(spark, sf):
     """Query words with their second letter doubled, corrected to the index's terms."""
     words = b.queries_of(spark, sf).select("query_id", F.posexplode(tx.tokenize(F.col("query"))).alias("place", "token"))
     broken = words.where(F.length("token") > 4).withColumn("token", F.concat(F.left("token", F.lit(2)), F.substring("token", 2, 40)))
-    terms = index.document_frequency(index.term_counts(b.corpus(spark, sf), "porter"))
-    return expand.correct_terms(broken, materialise(terms, "terms"))
+    return expand.correct_terms(broken, b.index_of(spark, sf, "english").terms, "english")
 
 
 def new_terms(spark, sf):
@@ -112,13 +109,43 @@ def new_terms(spark, sf):
 
 def expand_and_search(spark, sf):
     """Association clusters of HITS documents, then a search with the terms they add."""
-    e = engine.SearchEngine.build(b.corpus(spark, sf), *b.doc_graph(spark, sf), stemmer="none")
-    return e.expand_and_search(b.queries_of(spark, sf), "association", "bm25", b.K)
+    return b.engine_of(spark, sf, "english").expand_and_search(b.queries_of(spark, sf), "association", "hits", b.K)
+
+
+def expanded_queries(spark, sf):
+    """What each expansion makes of every query, its words corrected and in natural forms."""
+    e, queries = b.engine_of(spark, sf, "english"), b.queries_of(spark, sf)
+    whole = None
+    for method in engine.EXPANSIONS:
+        one = e.expanded(queries, method).select(F.lit(method).alias("method"), "query_id", "query")
+        whole = one if whole is None else whole.unionByName(one)
+    return whole
+
+
+def search_panels(spark, sf):
+    """Everything that one search shows, for all queries."""
+    external = b.table(spark, sf, "benchmark").select(F.lit("external").alias("engine"), F.col("item_id").alias("query_id"), F.lit(1).alias("rank"), F.left("text", F.lit(40)).alias("title"), F.lit("https://example.org/").alias("url"))
+    return service.fan_out(b.engine_of(spark, sf, "english"), b.queries_of(spark, sf), external=external)
+
+
+def service_answers(spark, sf):
+    """Results out of the JSON that a search service answers with; every third has no rank of its own, every fourth no score."""
+    q = b.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.struct(
+        F.left("text", F.lit(30)).alias("name"), F.concat(F.lit("HTTP://Example.ORG/"), F.col("item_id").cast("string"), F.lit("/?utm_source=a&x=1#top")).alias("link"),
+        F.when(F.col("item_id") % 3 > 0, F.col("item_id").cast("int") + 5).alias("rank"), F.when(F.col("item_id") % 4 > 0, F.col("item_id") / 8).alias("score"),
+    ).alias("one"))
+    answers = q.select("query_id", F.concat(F.lit('{"data": {"items": ["no", '), F.to_json("one"), F.lit("]}}")).alias("body"))
+    return service.normalise_answers(answers, service.answer_fields({"results_path": "data.items", "title": "name", "unknown": None}, url="link"))
+
+
+def display_words(spark, sf):
+    """Whether a term may be shown."""
+    return b.index_of(spark, sf).terms.select("term", tx.is_display_word(F.col("term")).alias("shown"))
 
 
 QUERIES = {f.__name__: f for f in (
     candidate_terms, local_term_counts, assoc_terms, assoc_normalized, scalar_terms, metric_terms, rocchio_terms, pseudo_feedback, association_table, scalar_table, metric_table, expansion_evaluation, neighbours_wanted, autocorrect_vocabulary, spell_correct,
-    new_terms, expand_and_search,
+    new_terms, expand_and_search, expanded_queries, search_panels, service_answers, display_words,
 )}
 
 _STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in expand.stop_terms())
@@ -173,5 +200,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
     "metric_table": _closest("met"),
     "neighbours_wanted": f"WITH {b.CTE} SELECT query_id, CASE WHEN len(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '')) <= 3 THEN 2 ELSE 6 END AS m FROM q0",
     "autocorrect_vocabulary": f"WITH {b.CTE} SELECT term FROM terms WHERE regexp_full_match(term, '[a-z]{{3,24}}') AND df >= 5",
+    "display_words": f"WITH {b.CTE} SELECT term, regexp_full_match(term, '[a-z]{{3,}}') AS shown FROM terms",
+    "service_answers": "SELECT item_id AS query_id, CASE WHEN item_id % 3 > 0 THEN item_id + 5 ELSE 2 END::INT AS rank, left(text, 30) AS title, 'HTTP://Example.ORG/' || item_id || '/?utm_source=a&x=1#top' AS url, 'http://example.org/' || item_id || '?x=1' AS normalized_url, '' AS snippet, CASE WHEN item_id % 4 > 0 THEN item_id / 8 ELSE 0.0 END::DOUBLE AS score FROM benchmark",
     "new_terms": f"WITH {b.CTE} SELECT query_id, array_to_string(list_filter(['lava', 'rock'], lambda x: NOT list_contains(regexp_split_to_array(lower(query), '\\s+'), x)), ' ') AS added FROM q0",
 }

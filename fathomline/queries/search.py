@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import graph, index, rank
-from ..shared import materialise
+from ..plans import engine
+from ..shared import materialise, shared_path
+from ..sources import store
 from . import base as b
 
 
@@ -41,8 +43,8 @@ def doc_store(spark, sf):
 
 
 def doc_vectors(spark, sf):
-    some = b.table(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    return index.document_vector(b.index_of(spark, sf), some).withColumn("weight", F.round("weight", 6))
+    i = b.index_of(spark, sf)
+    return index.document_vector(i, i.docs).withColumn("weight", F.round("weight", 6))
 
 
 def index_sample(spark, sf):
@@ -50,11 +52,12 @@ def index_sample(spark, sf):
 
 
 def stem_terms(spark, sf):
-    return tx.stem_vocabulary(index.term_counts(b.corpus(spark, sf)).select("term").distinct())
+    terms = b.index_of(spark, sf).terms
+    return tx.stem_vocabulary(terms, "english").join(tx.stem_vocabulary(terms, "porter").withColumnRenamed("stem", "porter_stem"), "term")
 
 
 def stemmed_postings(spark, sf):
-    return index.term_counts(b.corpus(spark, sf), "porter")
+    return index.term_counts(b.corpus(spark, sf), "english")
 
 
 def bm25_topk(spark, sf):
@@ -71,8 +74,7 @@ def format_hits(spark, sf):
 
 
 def bm25_stemmed(spark, sf):
-    pages = b.corpus(spark, sf)
-    return rank.rank_bm25(index.build_index(pages, "porter"), rank.query_terms(b.queries_of(spark, sf), "porter"), b.K)
+    return rank.rank_bm25(b.index_of(spark, sf, "english"), rank.query_terms(b.queries_of(spark, sf), "english"), b.K)
 
 
 def graph_edges(spark, sf):
@@ -110,13 +112,13 @@ def pagerank_fixed(spark, sf):
 
 def pagerank_converged(spark, sf):
     nodes, edges = b.doc_graph(spark, sf)
-    return graph.pagerank(nodes, edges)
+    return graph.pagerank(nodes, edges).withColumn("score", F.round("score", 8))
 
 
 def _base(spark, sf):
     nodes, edges = b.doc_graph(spark, sf)
     edges = materialise(edges, "doc-edges")
-    roots = graph.root_set(index.term_counts(b.corpus(spark, sf)), b.terms_of(spark, sf))
+    roots = graph.root_set(b.index_of(spark, sf).postings, b.terms_of(spark, sf))
     return materialise(graph.base_set(roots, nodes, edges), "base-set"), edges
 
 
@@ -171,17 +173,53 @@ def domain_overlap(spark, sf):
 
 
 def compare_models(spark, sf):
-    """One table of what each model returns: the batch form of asking all of them at once."""
-    i, terms = b.index_of(spark, sf), b.terms_of(spark, sf)
-    found = {"bm25": rank.rank_bm25(i, terms, b.K), "tfidf": rank.rank_tfidf(i, terms, b.K)}
+    """One table of what each model returns: the batch form of asking all of them at once. Links take a fixed number of rounds."""
+    i, terms, ranks = b.index_of(spark, sf), materialise(b.terms_of(spark, sf), "compare-terms"), materialise(_ranks(spark, sf), "compare-ranks")
+    scores = materialise(graph.hits(*_base(spark, sf), rounds=b.ROUNDS, tolerance=None), "compare-hits")
+    wide = graph.rank_hits(scores, rank.WIDER * b.K)
+    found = {
+        "bm25": rank.rank_bm25(i, terms, b.K), "tfidf": rank.rank_tfidf(i, terms, b.K), "pagerank": rank.rank_pagerank(i, terms, ranks, b.K), "hits": graph.rank_hits(scores, b.K),
+        "tfidf_pagerank": rank.rank_tfidf_pagerank(i, terms, ranks, b.K), "tfidf_hits": rank.rank_tfidf_hits(i, terms, wide, b.K),
+    }
     parts = [df.select(F.lit(m).alias("method"), "query_id", "rank", "doc_id", F.round("score", 6).alias("score")) for m, df in found.items()]
-    return parts[0].unionByName(parts[1])
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def served_search(spark, sf):
+    """All queries through the stored engine with stems, by each served method, as results are shown."""
+    return b.engine_of(spark, sf, "english").compare(b.queries_of(spark, sf), engine.SERVED, b.K)
+
+
+def stored_index(spark, sf):
+    """An index that is written and read again: its terms."""
+    path = shared_path(spark, "stored-index")
+    store.save_index(b.index_of(spark, sf), path)
+    found = store.load_index(spark, path)
+    return index.document_frequency(found.postings)
+
+
+def stored_graph(spark, sf):
+    """A graph with its ranks, written and read again: edges with the rank of their source."""
+    path, (nodes, edges) = shared_path(spark, "stored-graph"), b.part_graph(spark, sf)
+    store.save_graph(nodes, edges, path)
+    store.save({"ranks": graph.pagerank(nodes, edges, rounds=b.ROUNDS, tolerance=None)}, path)
+    (_, edges), ranks = store.load_graph(spark, path), store.load(spark, path, "ranks")["ranks"]
+    return edges.join(ranks.withColumnRenamed("id", "src"), "src").select("src", "dst", F.round("score", 9).alias("score"))
+
+
+def added_edges(spark, sf):
+    """The part graph and its edges turned round, each edge once and none from a node to itself."""
+    _, edges = b.part_graph(spark, sf)
+    return graph.add_edges(edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).unionByName(edges.select("src", F.col("src").alias("dst"))))
 
 
 QUERIES = {f.__name__: f for f in (
     tokenize_terms, stopword_filter, postings, term_df, corpus_stats, doc_norms, doc_store, doc_vectors, index_sample, stem_terms, stemmed_postings, bm25_topk, tfidf_topk, format_hits, bm25_stemmed,
     graph_edges, page_graph, graph_stats, graph_hubs_authorities, dead_ends, degree_subgraph, pagerank_fixed, pagerank_converged, hits_base_set, hits_induced, hits_fixed, hits_topk, pagerank_rerank,
-    tfidf_pagerank, tfidf_hits, match_strength, domain_overlap, compare_models,
+    tfidf_pagerank, tfidf_hits, match_strength, domain_overlap, compare_models, served_search, stored_index, stored_graph, added_edges,
 )}
 
 _SOURCE = "'https://www.' || source || '.example.org/doc/' || doc_id"
@@ -189,6 +227,9 @@ _DEGREES = "deg2 AS MATERIALIZED (SELECT id, coalesce(o, 0) AS o, coalesce(i, 0)
 _DOCN = "dn AS (SELECT doc_id AS id FROM documents)"
 _PR = f"{_DOCN}, {b.pagerank_sql('dn', 'de')}"
 _WIDE = b.top("tfidf", 50)
+#: Rounds within which PageRank settles on these graphs.
+CONVERGED = 40
+_MOVES = "mv AS (" + " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.score - b.score)) AS moved FROM pr{k} a JOIN pr{k - 1} b USING (id)" for k in range(1, CONVERGED + 1)) + ")"
 
 ORACLE_SQL = {
     "tokenize_terms": f"SELECT term, count(*) AS n FROM ({b.TOKENS}) GROUP BY term",
@@ -198,7 +239,7 @@ ORACLE_SQL = {
     "corpus_stats": f"WITH {b.CTE} SELECT n_docs, round(avg_dl, 6) AS avg_dl FROM st",
     "doc_norms": f"WITH {b.CTE} SELECT doc_id, doc_len::BIGINT AS doc_len, round(tfidf_norm, 6) AS tfidf_norm FROM docs",
     "doc_store": f"SELECT doc_id, {_SOURCE} AS url, '' AS title, left(text, 500) AS text_preview, 'text/html' AS content_type, 1 AS depth FROM documents",
-    "doc_vectors": f"WITH {b.CTE} SELECT doc_id, term, round((1 + log10(tf)) * log10(n_docs / df), 6) AS weight FROM postings JOIN terms USING (term), st WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "doc_vectors": f"WITH {b.CTE} SELECT doc_id, term, round((1 + log10(tf)) * log10(n_docs / df), 6) AS weight FROM postings JOIN terms USING (term), st",
     "index_sample": f"WITH {b.CTE} SELECT term, df, (SELECT count(*) FROM postings) AS n_postings, (SELECT count(DISTINCT term) FROM postings) AS n_terms FROM terms ORDER BY df DESC, term LIMIT 10",
     "bm25_topk": f"WITH {b.CTE}, {b.BM25} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ({b.top('bm25')})",
     "tfidf_topk": f"WITH {b.CTE}, {b.TFIDF} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ({b.top('tfidf')})",
@@ -220,5 +261,13 @@ SELECT page_id AS id, (SELECT count(*) FROM e WHERE src = page_id) AS out_degree
     "tfidf_hits": f"WITH {b.CTE}, {b.TFIDF}, {b.EDGES}, {b.BASE_SET}, {b.hits_sql()}, w AS ({_WIDE}), a0 AS (SELECT query_id, doc_id, auth AS score FROM h{b.ROUNDS}), a AS ({b.top('a0', 50)}), s AS (SELECT query_id, doc_id, 0.7 * (w.score / CASE WHEN best <> 0 THEN best ELSE 1 END) + 0.3 * coalesce(a.score, 0) AS score FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM w) w LEFT JOIN a USING (query_id, doc_id)) SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ({b.top('s')})",
     "match_strength": f"WITH {b.CTE}, {b.TFIDF} SELECT query_id, doc_id, CASE WHEN round(score, 6) >= 0.7 THEN 'Strong' WHEN round(score, 6) >= 0.3 THEN 'Moderate' ELSE 'Weak' END AS strength, round(greatest(6.0, least(100.0, 100.0 * score / greatest(max(score) OVER (PARTITION BY query_id), 1.0))), 6) AS width FROM ({b.top('tfidf')})",
     "domain_overlap": f"WITH {b.CTE}, {b.BM25}, {b.TFIDF}, l AS (SELECT query_id, doc_id, source AS domain FROM ({b.top('bm25')}) JOIN documents USING (doc_id)), r AS (SELECT DISTINCT query_id, source AS domain FROM ({b.top('tfidf')}) JOIN documents USING (doc_id)) SELECT l.query_id, doc_id, l.domain, r.domain IS NOT NULL AS shared FROM l LEFT JOIN r ON l.query_id = r.query_id AND l.domain = r.domain",
-    "compare_models": f"WITH {b.CTE}, {b.BM25}, {b.TFIDF} SELECT 'bm25' AS method, query_id, rank, doc_id, round(score, 6) AS score FROM ({b.top('bm25')}) UNION ALL SELECT 'tfidf', query_id, rank, doc_id, round(score, 6) FROM ({b.top('tfidf')})",
+    "stored_index": f"WITH {b.CTE} SELECT * FROM terms",
+    "stored_graph": f"WITH {b.EDGES}, {b.pagerank_sql('pn', 'pe')} SELECT src, dst, round(score, 9) AS score FROM pe JOIN pr{b.ROUNDS} ON id = src",
+    "added_edges": f"WITH {b.EDGES} SELECT src, dst FROM pe UNION SELECT dst, src FROM pe",
+    "pagerank_converged": f"WITH {b.EDGES}, {_DOCN}, {b.pagerank_sql('dn', 'de', CONVERGED)}, {_MOVES}, stop AS (SELECT min(k) AS k FROM mv WHERE moved < 1e-6) " + " UNION ALL ".join(f"SELECT id, round(score, 8) AS score FROM pr{k}, stop WHERE k = {k}" for k in range(1, CONVERGED + 1)),
 }
+_MODELS = {"bm25": "bm25_topk", "tfidf": "tfidf_topk", "pagerank": "pagerank_rerank", "tfidf_pagerank": "tfidf_pagerank", "tfidf_hits": "tfidf_hits"}
+ORACLE_SQL["compare_models"] = " UNION ALL ".join(
+    [f"SELECT '{m}' AS method, query_id, rank, doc_id, round(score, 6) AS score FROM ({ORACLE_SQL[q]})" for m, q in _MODELS.items()]
+    + [f"SELECT 'hits', query_id, rank, doc_id, round(score, 6) FROM (WITH {b.CTE}, {b.EDGES}, {b.BASE_SET}, {b.hits_sql()}, a0 AS (SELECT query_id, doc_id, auth AS score FROM h{b.ROUNDS}) {b.top('a0')})"]
+)
