@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions import html, urls, words
 from fathomline.functions import text as tx
-from fathomline.functions.stem import porter
+from fathomline.functions.stem import english, porter
 
 
 @pytest.mark.parametrize(
@@ -24,6 +26,20 @@ def test_porter(word, stem):
     assert porter(word) == stem
 
 
+@pytest.mark.parametrize(
+    ("word", "stem"),
+    [
+        ("consignment", "consign"), ("consisted", "consist"), ("consistency", "consist"), ("consolation", "consol"), ("consolatory", "consolatori"), ("conspicuous", "conspicu"), ("conspiracy", "conspiraci"), ("knackeries", "knackeri"),
+        ("knaves", "knave"), ("knavish", "knavish"), ("kneaded", "knead"), ("knightly", "knight"), ("knots", "knot"), ("generate", "generat"), ("generously", "generous"), ("communism", "communism"), ("skies", "sky"), ("news", "news"),
+        ("happy", "happi"), ("ties", "tie"), ("cries", "cri"), ("gas", "gas"), ("this", "this"), ("gaps", "gap"), ("kiwis", "kiwi"), ("agreed", "agre"), ("hopping", "hop"), ("hoping", "hope"), ("luxuriated", "luxuri"), ("fluently", "fluentli"),
+        ("sayings", "say"), ("yearly", "year"), ("by", "by"), ("geology", "geolog"), ("geological", "geolog"), ("volcanoes", "volcano"), ("proceed", "proceed"), ("relational", "relat"), ("conditional", "condit"), ("bed", "bed"), ("shed", "shed"),
+        ("formative", "format"), ("adoption", "adopt"), ("controller", "control"), ("hopefulness", "hope"), ("electricity", "electr"), ("early", "earli"), ("earthquakes", "earthquak"), ("magmatic", "magmat"), ("sedimentary", "sedimentari"),
+    ],
+)
+def test_english(word, stem):
+    assert english(word) == stem
+
+
 def test_stop_words_are_frozen():
     assert len(words.STOP_WORDS) == len(set(words.STOP_WORDS)) == 179
 
@@ -81,3 +97,9 @@ def test_analyze_is_the_same_on_driver_and_executors(spark):
     terms = spark.createDataFrame([(text,)], "t string").select(F.explode(tx.terms_of(F.col("t"))).alias("term"))
     stems = {r["term"]: r["stem"] for r in tx.stem_vocabulary(terms).collect()}
     assert tx.analyze(text) == [stems[t] for t in ("volcanoes", "rocks", "sedimentary", "formations")]
+
+
+def test_pages_of_unclosed_tags_take_linear_time():
+    text = "<div>a" * 30_000 + "</p>" * 30_000 + "<b>x</b>"
+    began = time.perf_counter()
+    assert html.parse_page(text)[1].endswith("ax") and time.perf_counter() - began < 5

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.operators import clean, cluster, evaluate, expand, graph, index, rank
+from fathomline.operators import clean, cluster, evaluate, expand, graph, index, rank, vectors
 
 
 def pages(spark, texts, **more):
@@ -165,6 +165,32 @@ def test_spelling(spark):
     assert expand.close_match("volcno", ["volcano", "rock"]) == "volcano" and expand.close_match("x", ["rock"]) is None
 
 
+def test_natural_words(spark):
+    surfaces = spark.createDataFrame([("volcano", "volcanoes"), ("rock", "Rocks "), ("b2", "b2b"), ("ash", "ash"), ("x", "xy")], "stem string, surface string")
+    lemmas = spark.createDataFrame([("volcanoes", "volcano"), ("rocks", "stone"), ("b2b", "b2"), ("ash", "as")], "surface string, lemma string")
+    named = lambda df: {r["stem"]: r["natural"] for r in df.collect()}
+    assert named(expand.natural_words(surfaces)) == {"volcano": "volcanoes", "rock": "rocks", "ash": "ash"}
+    assert named(expand.natural_words(surfaces, lemmas)) == {"volcano": "volcanoes", "rock": "stone", "ash": "ash"}
+    assert [r["term"] for r in expand.safe_stems(spark.createDataFrame([("lava", 4), ("ash", 3), ("page", 9), ("l4", 9)], "term string, df long")).collect()] == ["lava"]
+
+
+def test_admitted_rows_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    i = index.build_index(pages(spark, [" ".join(rng.choice(["lava", "rock", "ash", "page", "a1", "fault", "cone", "dike", *(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(150))], 6)) for _ in range(200)]))
+    terms = spark.createDataFrame([(0, "lava", 1), (1, "lava", 1), (1, "rock", 1), (2, "ash", 2), (2, "w", 1)], "query_id int, term string, qtf long")
+    rows = i.terms.crossJoin(terms.select("query_id").distinct()).select("query_id", "term")
+    got = expand.admit(rows, i, terms)
+    n, df = 200, {r["term"]: r["df"] for r in i.terms.collect()}
+    want = set()
+    for q, length, own in ((0, 1, {"lava"}), (1, 2, {"lava", "rock"}), (2, 3, {"ash", "w"})):
+        for t, d in df.items():
+            if t.isalpha() and 3 <= len(t) <= 24 and t not in expand.stop_terms() and t not in own and d >= (4 if length <= 1 else 3) and d / n <= (0.1 if length <= 1 else 0.05):
+                want.add((q, t))
+    assert {(r["query_id"], r["term"]) for r in got.collect()} == want and want
+    totals = {r["query_id"]: r["n"] for r in expand.candidate_totals(i, terms).collect()}
+    assert totals == {q: sum(x == q for x, _ in want) for q in {x for x, _ in want}}
+
+
 def test_display_query():
     natural = {"volcano": "volcanoes", "lava": "lava", "erupt": "eruption"}
     assert expand.display_query(["volcano"], ["lava", "eruptionvolcano", "volcano", "basalt"], natural, {"basalt"}) == "volcanoes lava basalt"
@@ -192,6 +218,43 @@ def test_rerank_of_unassigned(spark):
     assert (rows[11]["cluster_name"], rows[11]["score"], rows[11]["rank"], rows[11]["rank_delta"]) == ("n", 0.65, 2, 0)
 
 
+def test_vectors_go_to_the_nearest_center(spark):
+    rng = np.random.default_rng(6)
+    x, c = rng.normal(size=(300, 8)).astype(np.float32), rng.normal(size=(7, 8))
+    c[5] = c[2]  # of equals the first
+    df = spark.createDataFrame([(i, [float(v) for v in r], {"k": i}) for i, r in enumerate(x)] + [(900, None, None)], "doc_id long, vec array<float>, more map<string,int>").repartition(3)
+    got = {r["doc_id"]: (r["cluster_id"], r["more"]) for r in cluster.assign(df, cluster.centers_frame(spark, c)).collect()}
+    assert got == {i: (int(((r - c) ** 2).sum(axis=1).argmin()), {"k": i}) for i, r in enumerate(x.astype(np.float64))} | {900: (None, None)}
+
+
+def test_sparse_products(spark):
+    rng = np.random.default_rng(7)
+    x = (rng.random((700, 1200)) < 0.02) * rng.random((700, 1200))
+    rows = [(i, np.nonzero(r)[0].tolist(), r[np.nonzero(r)[0]].tolist()) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, weights array<double>").repartition(5)
+    a, b = rng.normal(size=(1200, 4)), rng.normal(size=(1200, 6))
+    assert np.allclose(vectors._gather(df, None, b, 1200), x.T @ (x @ b))
+    assert np.allclose(vectors._gather(df, a, b, 4), (x @ a).T @ (x @ b))
+
+
+def test_long_chains_of_duplicates(spark):
+    rows = [(i, f"u{(i + 1) // 2}", f"t{i // 2}") for i in range(400)]
+    seen_u, seen_t, want = set(), set(), []
+    for i, u, t in rows:
+        if u not in seen_u and t not in seen_t:
+            want.append(i)
+            seen_u.add(u)
+            seen_t.add(t)
+    got = clean.keep_first(spark.createDataFrame(rows, "id long, normalized_url string, text_hash string"), "id")
+    assert sorted(r["id"] for r in got.where("kept").collect()) == want
+
+
+def test_a_drawing_of_a_graph(spark, tmp_path):
+    graph.graph_page(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"), str(tmp_path / "g.html"), "<x>")
+    page = (tmp_path / "g.html").read_text()
+    assert page.count("<line") == 2 and page.count("<circle") == 3 and "&lt;x&gt;" in page
+
+
 def test_agglomeration():
     x = np.array([[0, 1], [0.1, 1], [5, 0], [5.2, 0.1], [9, 9]], float)
     for linkage in ("ward", "complete"):

@@ -1,15 +1,19 @@
 from __future__ import annotations
 
+import http.server
 import json
+import threading
+import time
+import urllib.parse
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline import catalog
+from fathomline import catalog, shared
 from fathomline.operators import rank
 from fathomline.plans import clusters, engine, experiment, reports, service
-from fathomline.sources import files
+from fathomline.sources import files, search
 from fathomline.streaming import crawl
 
 TOPICS = {"volcano": "lava magma eruption crater volcano ash cone the and earth", "quake": "fault seismic wave earthquake rupture plate the and earth", "fossil": "bone shell fossil dinosaur layer amber the and earth"}
@@ -45,11 +49,36 @@ def test_engine(spark, topics, tmp_path):
         e.expand(asked, method).collect()
     assert e.compare(asked, ("bm25", "tfidf"), 2).groupBy("method").count().count() == 2
     answer = e.answer("volcano lava", "combined", 2)
-    assert answer["total_results"] == 2 and answer["method"] == "pagerank"
-    for bad in (("", "hits", 5), ("x", "bm25", 5), ("x", "hits", 0)):
+    assert answer["metadata"]["total_results"] == 2 and answer["results"][0]["rank"] == 1
+    for bad in (("", "hits", 5), ("x", "bm25", 5), ("x", "hits", 0), ("x", "hits", 101)):
         with pytest.raises(ValueError):
             e.answer(*bad)
-    assert "volcano" in e.display("volcanoes", ["lava"])
+
+
+def test_served_expansion(spark, topics):
+    """Words are corrected, expanded and shown in natural forms; what finds nothing stays as corrected stems."""
+    extra = spark.createDataFrame([(100 + i, f"https://x.example.org/{i}", "", f"filler{chr(97 + i % 26)} words", "", 200, 1) for i in range(130)], topics[0].schema)
+    pages = topics[0].unionByName(extra)
+    e = engine.SearchEngine.build(pages, pages.select(F.col("doc_id").alias("id")), topics[2], rounds=5)
+    asked = queries(spark, "volcanno lavva", "qqqq zzzzz", "", "the eruptions")
+    for method in engine.EXPANSIONS:
+        got = {r["query_id"]: r["query"] for r in e.expanded(asked, method).collect()}
+        shown = got[0].split()
+        assert shown[:2] == ["volcano", "lava"] and len(shown) <= 7 and len(set(shown)) == len(shown), method
+        assert got[2] == "" and (got[1] == "qqqq zzzzz" or method == "rocchio")
+    assert {"magma", "crater", "ash", "cone", "eruption"} & set(e.expanded(asked, "association").where("query_id = 0").first()["query"].split())
+    answer = e.answer_expanded("volcanno", "association", "tfidf", 3)
+    assert answer["original_query"] == "volcanno" and answer["expanded_query"].startswith("volcano") and answer["metadata"]["total_results"] == 3
+    moved = e.answer_expanded("lava", "rocchio", "tfidf", 3, relevant=[1, 2], irrelevant=[13])
+    assert moved["expanded_query"].split()[0] == "lava" and len(moved["expanded_query"].split()) > 1
+
+
+def test_panels(spark, topics):
+    e = engine.SearchEngine.build(*topics, rounds=5)
+    external = spark.createDataFrame([("google", 0, 1, "t", "u")], "engine string, query_id int, rank int, title string, url string")
+    panels = service.fan_out(e, queries(spark, "volcano lava", "fossil"), k=3, external=external)
+    assert {r["panel"] for r in panels.select("panel").distinct().collect()} == {*engine.SERVED, "expanded", "google"}
+    assert panels.where("rank > 3").isEmpty()
 
 
 def test_reports(spark, topics, tmp_path):
@@ -109,13 +138,69 @@ def test_too_few_records(spark, topics):
         clusters.build(topics[0].where("doc_id < 4"), "b2")
 
 
-def test_adapter_and_jobs(tmp_path):
-    adapter = service.SearchAdapter.from_payload({"results_path": "data.items", "http_method": "get", "unknown": 1})
-    assert (adapter.results_path, adapter.http_method) == (["data", "items"], "GET")
-    found = adapter.search("q", "hits", 3, lambda request: {"data": {"items": [{"url": "HTTP://A.org/x/", "title": "t", "score": "1.5"}, "no"]}})
-    assert found == [{"rank": 1, "title": "t", "url": "HTTP://A.org/x/", "normalized_url": "http://a.org/x", "snippet": "", "score": 1.5}]
-    with pytest.raises(ValueError):
-        adapter.search("q", "hits", 3, lambda request: {})
+def test_answers_of_services(spark):
+    fields = service.answer_fields({"results_path": "data.items", "title": None, "unknown": 1}, url="link")
+    assert fields == service.FIELDS | {"results_path": "data.items", "url": "link"}
+    body = json.dumps({"data": {"items": [{"link": "HTTP://A.org/x/", "title": "t", "score": "1.5"}, "no", {"rank": 9}]}})
+    rows = service.normalise_answers(spark.createDataFrame([(1, body)], "query_id int, body string"), fields).collect()
+    assert [r.asDict() for r in rows] == [
+        {"query_id": 1, "rank": 1, "title": "t", "url": "HTTP://A.org/x/", "normalized_url": "http://a.org/x", "snippet": "", "score": 1.5},
+        {"query_id": 1, "rank": 9, "title": "", "url": "", "normalized_url": "", "snippet": "", "score": 0.0},
+    ]
+    for bad in ("{}", '{"data": {"items": {}}}', "no json"):
+        with pytest.raises(Exception, match="no list at data.items"):
+            service.normalise_answers(spark.createDataFrame([(1, bad)], "query_id int, body string"), fields).collect()
+
+
+def test_a_search_service_is_a_source(spark):
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def _answer(self, asked: dict) -> None:
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"results": [{"title": f"{asked['q']} {self.headers['X-Key']}", "url": "http://a/"}] * int(asked["top_k"])}).encode())
+
+        def do_POST(self) -> None:
+            self._answer(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+
+        def do_GET(self) -> None:
+            self._answer(dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(self.path).query)))
+
+        def log_message(self, *args) -> None:
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    search.register(spark)
+    for method in ("POST", "GET"):
+        reader = spark.read.format("search_service").option("url", f"http://127.0.0.1:{server.server_port}/").option("queries", json.dumps([[1, "lava"], [2, "ash flow"]]))
+        answers = reader.option("query_field", "q").option("top_k", "2").option("http_method", method).option("headers", '{"X-Key": "k"}').load()
+        rows = service.normalise_answers(answers).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["rank"], r["title"]) for r in rows] == [("1", 1, "lava k"), ("1", 2, "lava k"), ("2", 1, "ash flow k"), ("2", 2, "ash flow k")]
+    server.shutdown()
+    with pytest.raises(Exception, match="url and queries"):
+        spark.read.format("search_service").load().collect()
+
+
+def test_requests(spark, tmp_path):
+    assert service.upstream_error(422, '{"detail": "bad"}') == (422, "bad") and service.upstream_error(500, "<html>") == (502, "<html>")
+    assert [q["query_id"] for q in service.demo_list(spark, str(tmp_path / "none.json"))] == ["Q001", "Q009", "Q017", "Q024", "Q033"]
+    (tmp_path / "some.json").write_text(json.dumps([{"query_id": "Q2", "query_text": "x", "topic": "t", "judged_subset": True, "demo_candidate": True}, {"query_id": "Q1", "query_text": "y", "topic": "t", "judged_subset": True, "demo_candidate": False}]))
+    assert service.demo_list(spark, str(tmp_path / "some.json")) == [{"query_id": "Q2", "query_text": "x", "topic": "t"}]
+    latest = service.Latest()
+    old, new = latest.ask(), latest.ask()
+    assert latest.is_current(new) and not latest.is_current(old)
+    assert [service.relevance(r) for r in (0, 1, 2)] == [0, 1, 2] and engine.bounded("external", 20) == 20
+    for bad in (lambda: service.relevance(3), lambda: engine.bounded("external", 21), lambda: engine.bounded("clustered", 51)):
+        with pytest.raises(ValueError):
+            bad()
+    (tmp_path / ".env").write_text("# note\nA=1\n B = 'two' \nA=3\nnothing\n")
+    assert files.read_env(tmp_path / ".env") == {"A": "1", "B": "two"} and files.read_env(tmp_path / "none") == {}
+    assert shared.setting(spark, "port", "8000") == "8000"
+    spark.conf.set("spark.fathomline.port", "9")
+    assert shared.setting(spark, "port", "8000") == "9"
+
+
+def test_jobs(tmp_path):
     jobs = service.Jobs(str(tmp_path))
     good, bad = jobs.start(lambda folder: 1)["id"], jobs.start(lambda folder: 1 / 0)["id"]
     assert jobs.futures[good].result() == 1 and jobs.futures[bad].exception() is not None
@@ -144,6 +229,26 @@ def test_new_urls(spark):
     assert crawl.new_urls(links, seen).count() == 1
 
 
+def test_first_visits(spark):
+    pages = spark.createDataFrame([(3, "http://a/x"), (1, "http://A/x/"), (2, "http://a/y#f"), (4, "http://a/y")], "id long, url string")
+    assert {r["id"]: r["fresh"] for r in crawl.first_visits(pages, "id").collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_progress_of_a_crawl(spark, tmp_path):
+    said = []
+    listener = crawl.Progress(target=10, every=1, say=said.append)
+    spark.streams.addListener(listener)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps({"url": f"http://a/{i}", "title": "", "text": "lava", "status": 200}) for i in range(7)))
+    crawl.index_arrivals(crawl.arriving_pages(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    for _ in range(100):
+        if len(said) >= 2:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert said[0].startswith("7 pages") and said[0].endswith("left of 10")
+
+
 def test_robots(spark):
     pages = spark.createDataFrame([(1, "http://a/x"), (2, "http://a/no/x"), (3, "http://b/no")], "page_id long, url string")
     rules = spark.createDataFrame([("a", "User-agent: *\nDisallow: /no/")], "host string, robots string")
