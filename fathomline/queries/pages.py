@@ -273,6 +273,7 @@ ORACLE_SQL = {
     "json_paths": "SELECT event_id, props ->> '$.k' AS k, props ->> '$.none.such' AS missing FROM events",
     "low_value_filter": f"SELECT doc_id, {_has('lower(text)', clean.LOW_TEXTS)} AS low_value FROM documents",
     "text_hash_dedup": "SELECT md5(text) AS text_hash, min(doc_id) AS doc_id, count(*) AS n_rows FROM documents GROUP BY 1",
+    "url_normalize": rf"SELECT page_id, {_VISITED} AS crawl_url, {_VISITED} AS visited_url, regexp_replace({_VISITED}, '\?utm_[a-z]+=[a-z]*$', '') AS page_url FROM pages",
     "visited_filter": f"SELECT page_id, page_id = min(page_id) OVER (PARTITION BY {_VISITED}) AS fresh FROM pages",
     "unvisited_links": f"SELECT DISTINCT url FROM (SELECT regexp_replace(url, '[#?].*$', '') || '/new' AS url FROM pages) WHERE url NOT IN (SELECT {_VISITED} FROM pages)",
     "balanced_sample": f"WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS turn FROM documents) SELECT doc_id, source, turn FROM d WHERE turn <= {clean.DOMAIN_CAP} ORDER BY turn, md5('42:' || source), source LIMIT {clean.SAMPLE_CAP}",
