@@ -275,3 +275,20 @@ def test_flat_clusters_are_of_all_vectors(spark, tmp_path):
         spark.createDataFrame(part, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
         got.append({r["doc_id"]: r["cluster_id"] for r in catalog.QUERIES["kmeans_flat"](spark, f"{tmp_path}/{name}").collect()})
     assert got[0] == got[1] and len(got[0]) == 3000 and len(set(got[0].values())) >= 16
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        named = None
+
+        def get(self, name, default=None):
+            return self.named or default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://a:7077"})()
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
+    Conf.named = "hdfs://a/shared/"
+    assert shared.shared_dir(Session()) == "hdfs://a/shared/fathomline"
