@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.llm import cdc, exact, mixing, piece, quality, queries, simhash, suffix, tokencount, toxicity, urlfilter
+from fathomline.llm import cdc, common, exact, mixing, piece, quality, queries, simhash, suffix, tokencount, toxicity, urlfilter
 
 #: Names that operators use within.
 CLASHING = ("key", "fp", "digest", "size", "lo", "hi", "n", "kept", "copies", "target", "part", "root", "half", "toxic", "host", "path", "rule", "_doc", "_key", "_row", "_own_key", "_id", "_times", "_text", "_words", "_nth", "held_out", "spans", "component_id", "source_size")
@@ -97,3 +97,28 @@ def test_of_repeated_rows_one_stays(odd):
     assert kept.where("lower(text) = 'short'").first()["doc_id"] == 9
     near = simhash.drop_near(odd.where("lower(text) = 'short'")).collect()
     assert len(near) == 1 and near[0]["doc_id"] == 4
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        named = None
+
+        def get(self, name, default=None):
+            return self.named or default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "yarn"})()
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session())
+    Conf.named = "hdfs://a/shared/"
+    assert common.shared_dir(Session()) == "hdfs://a/shared/fathomline"
+
+
+def test_discarded_tables_are_gone(spark):
+    kept, gone = (common.materialise(spark.range(3), "discard") for _ in range(2))
+    path = common._path_of[gone]
+    common.discard(gone)
+    files, there = common.hadoop_path(spark.sparkContext, path)
+    assert not files.exists(there) and path not in common._written and kept.count() == 3
