@@ -10,7 +10,9 @@ a digest of its bytes:
    block of buckets at a time, in numpy: ranks of the suffixes in a difference cover modulo PERIOD are computed first, by
    doubling, and a suffix is then placed by the few bytes before its next cover suffix, that suffix's rank, and the bytes
    beyond the rank's depth. Ties of any length below `length` thus take a few comparisons, and memory is bounded by the block;
-3. a bucket of more than Limits.crowd different runs is counted by digests of its strings instead, as a partial aggregate.
+3. a bucket of more than Limits.crowd different runs is split first, so that no task holds it: its strings are dealt by their
+   distance from the minimiser, a range of distances a piece, and by the bytes that all strings of the range hold, which equal
+   strings share. A split bucket goes through steps 1 and 2 like any other, and is split by narrower ranges if it is still too large.
 
 Runs of one bucket are laid out around their minimiser, so that the places of equal strings agree modulo PERIOD and the
 cover's shift for a pair depends on the place alone.
@@ -47,12 +49,12 @@ PLACE_BITS = 24
 @dataclass(frozen=True)
 class Limits:
     """Bounds on memory, none of which changes a result. stretch: bytes whose minimisers are found at once, below 2 ** PLACE_BITS.
-    block: bytes that are sorted at once, unless one bucket has more. crowd: different runs of a bucket that are sorted at
-    most; a larger bucket is counted by digests of its strings."""
+    block: bytes that are sorted at once, unless one bucket has more. crowd: different runs of a bucket that are sorted at once
+    at most; a larger bucket is split."""
 
     stretch: int = 2_000_000
     block: int = 3_000_000
-    crowd: int = 8192
+    crowd: int = 2048
 
 
 LIMITS = Limits()
@@ -289,18 +291,68 @@ def _sort_buckets(bodies: DataFrame, length: int, most: int) -> DataFrame:
     return common.map_arrow(dealt.select("gram", "digest", "doc_id", "key", "lo", "at", "body", "open"), run, f"{kind}, key bigint, lo int, hi int")
 
 
-def _strings(bodies: DataFrame, length: int) -> DataFrame:
-    """string (a digest), doc_id, key, lo, open of every string of the bodies."""
+def _split(bodies: DataFrame, length: int, width: int) -> DataFrame:
+    """Pieces of the bodies, as gram, digest, doc_id, key, lo, at, hi, open, body: the strings of a piece hold the minimiser at
+    distances of one range of width + 1, and gram is a hash of the range and of the length - width bytes that they all hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, body in enumerate(batch.column("body").to_pylist()):
-                n = len(body) - length + 1
-                one = pa.array([i] * n, pa.int64())
-                lo = batch.column("lo")[i].as_py() + np.arange(n, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(body[k : k + length]) for k in range(n)], pa.binary()), *(batch.column(c).take(one) for c in ("doc_id", "key", "open")), pa.array(lo.astype(np.int32))], names=["string", "doc_id", "key", "open", "lo"])
-
-    return common.map_arrow(bodies.select("doc_id", "key", "lo", "body", "open"), run, f"string binary, {common.numbered_types(bodies, 'doc_id')}, key bigint, open boolean, lo int")
+            rows = zip(*(batch.column(c).to_pylist() for c in ("gram", "lo", "at", "body")), strict=True)
+            which, grams, digests, lows, highs, cut = [], [], [], [], [], []
+            for i, (gram, lo, at, body) in enumerate(rows):
+                n, place = len(body) - length + 1, at - lo
+                for part in range((place - n + 1) // (width + 1), place // (width + 1) + 1):
+                    near = part * (width + 1)  # distances from near to near + width
+                    first, last = max(place - near - width, 0), min(place - near, n - 1)
+                    common_bytes = body[place - near : place - near - width + length]
+                    piece = body[first : last + length]
+                    grams.append(xxhash.xxh3_64_intdigest(common_bytes + part.to_bytes(4, "little"), gram & (2**64 - 1)))
+                    digests.append(_digest(piece + (place - first).to_bytes(4, "little")))
+                    which.append(i)
+                    lows.append(lo + first)
+                    highs.append(lo + last + length)
+                    cut.append(piece)
+            one = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(grams, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), *(batch.column(c).take(one) for c in ("doc_id", "key")), pa.array(lows, pa.int32()), batch.column("at").take(one), pa.array(highs, pa.int32()), batch.column("open").take(one), pa.array(cut, pa.binary())],
+                names=["gram", "digest", "doc_id", "key", "lo", "at", "hi", "open", "body"],
+            )
+
+    schema = f"gram bigint, digest binary, {common.numbered_types(bodies, 'doc_id')}, key bigint, lo int, at int, hi int, open boolean, body binary"
+    return common.map_arrow(bodies.select("gram", "doc_id", "key", "lo", "at", "open", "body"), run, schema)
+
+
+def _sort_crowded(crowd: DataFrame, length: int, limits: Limits) -> list[DataFrame]:
+    """Spans as those of _sort_buckets, for the bodies of buckets that are too large for it."""
+    found, width = [], length - GRAM
+    while not crowd.isEmpty():
+        width //= 4  # at 0 all pieces of a bucket are equal, and none is left
+        pieces = common.materialise(_split(crowd, length, width), "suffix-pieces")
+        one = F.min(F.struct("key", "doc_id", "lo", "at", "body")).alias("one")
+        # A piece that is not open is of a run that stands twice.
+        kinds = pieces.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n"), F.bool_and("open").alias("open"), one)
+        kinds = common.materialise(kinds.select("gram", "digest", "n", (F.col("open") & (F.col("n") == 1)).alias("open"), "one.*"), "suffix-kinds")
+        again = kinds.where("not open").select(F.col("gram").alias("_gram"), F.col("digest").alias("_digest"), "n")
+        found += _whole_runs(pieces.where("open"), common.materialise(again, "suffix-again"))
+        contested = _contested(kinds, limits.crowd)
+        bodies = common.materialise(kinds.join(contested, F.col("gram") == F.col("_gram")).drop("_gram", "n"), "suffix-bodies")
+        found.append(_sort_buckets(bodies.where("not crowded"), length, limits.block))
+        common.discard(kinds, contested)
+        crowd = bodies.where("crowded")
+    return found
+
+
+def _contested(kinds: DataFrame, crowd: int) -> DataFrame:
+    """_gram and crowded of the buckets of several kinds(gram), written."""
+    found = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    return common.materialise(found.select(F.col("gram").alias("_gram"), (F.col("m") > crowd).alias("crowded")), "suffix-contested")
+
+
+def _whole_runs(runs: DataFrame, again: DataFrame) -> list[DataFrame]:
+    """doc_id, key, lo, hi of the runs whose (gram, digest) the written table again(_gram, _digest, n) holds."""
+    pair = (F.col("gram") == F.col("_gram")) & (F.col("digest") == F.col("_digest"))
+    hot, few = _by_heat(again)
+    return [runs.join(hot, pair, "left_semi").select("doc_id", "key", "lo", "hi"), runs.join(hot, pair, "left_anti").join(few, pair).select("doc_id", "key", "lo", "hi")]
 
 
 def _cut_bodies(wanted: DataFrame, texts: DataFrame) -> DataFrame:
@@ -358,26 +410,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, limits: Limits = LIMITS)
     runs = common.materialise(_find_runs(docs, length, limits.stretch), "suffix-runs")
     one = F.min(F.struct("key", "doc_id", "lo", "at", "hi")).alias("one")
     kinds = common.materialise(runs.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n"), one), "suffix-kinds")
-    contested = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("gram").alias("_gram"), (F.col("m") > limits.crowd).alias("crowded"))
-    contested = common.materialise(contested, "suffix-contested")
+    contested = _contested(kinds, limits.crowd)
     wanted = kinds.join(contested, F.col("gram") == F.col("_gram")).select("gram", "digest", (F.col("n") == 1).alias("open"), "crowded", "one.*")
     wanted = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "digest", "lo", "at", "hi", "open", "crowded")).alias("runs"))
     bodies = common.materialise(_cut_bodies(wanted, docs), "suffix-bodies")
-    sorted_spans = _sort_buckets(bodies.where("not crowded"), length, limits.block)
-
-    crowd = bodies.where("crowded")
-    found = [sorted_spans]
-    if not crowd.isEmpty():
-        strings = common.materialise(_strings(crowd, length), "suffix-strings")
-        # A run that stands twice counts twice: its strings are repeated by that alone, and found with the whole runs.
-        twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("string").alias("_string"))
-        twice = common.materialise(twice, "suffix-twice")
-        found.append(strings.where("open").join(twice, F.col("string") == F.col("_string")).select("doc_id", "key", "lo", (F.col("lo") + length).alias("hi")))
-    pair = (F.col("gram") == F.col("_gram")) & (F.col("digest") == F.col("_digest"))
-    again = common.materialise(kinds.where("n > 1").select(F.col("gram").alias("_gram"), F.col("digest").alias("_digest"), "n"), "suffix-again")
-    hot, few = _by_heat(again)
-    found.append(runs.join(hot, pair, "left_semi").select("doc_id", "key", "lo", "hi"))
-    found.append(runs.join(hot, pair, "left_anti").join(few, pair).select("doc_id", "key", "lo", "hi"))
+    found = [_sort_buckets(bodies.where("not crowded"), length, limits.block), *_sort_crowded(bodies.where("crowded"), length, limits)]
+    again = kinds.where("n > 1").select(F.col("gram").alias("_gram"), F.col("digest").alias("_digest"), "n")
+    again = common.materialise(again, "suffix-again")
+    found += _whole_runs(runs, again)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

@@ -310,7 +310,7 @@ def odd_texts() -> dict:
 
 
 #: Every bound, and one low enough that these texts go beyond it.
-LOW = [suffix.Limits(), suffix.Limits(crowd=2), suffix.Limits(block=2000), suffix.Limits(stretch=1000), suffix.Limits(stretch=700, block=1, crowd=1)]
+LOW = [suffix.Limits(), suffix.Limits(crowd=2), suffix.Limits(crowd=6, block=2000), suffix.Limits(block=2000), suffix.Limits(stretch=1000), suffix.Limits(stretch=700, block=1, crowd=1)]
 
 
 @pytest.mark.parametrize("limits", LOW)
