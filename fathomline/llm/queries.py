@@ -91,6 +91,42 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 _AZ = f"translate({{0}}, '{common.UPPER}', '{common.LOWER}')"
 
+#: Arithmetic of 64-bit hashes, in 128 bits.
+_WHOLE = f"{1 << 64}::UHUGEINT"
+
+
+def _mod(expression: str) -> str:
+    return f"(({expression}) % {_WHOLE})"
+
+
+def _suffix_sql(length: int = 400) -> str:
+    """Repeats by a digest of each string of `length` bytes; passages by the least hash of a gram in each of their strings. Hashes of grams
+    are made by doubling: h2n(i) = h1..n(i) * base ** n + hn(i + n)."""
+    base, passage, gram = 0x9E3779B97F4A7C15, suffix.PASSAGE, suffix.PASSAGE_GRAM
+    power = lambda n: f"{pow(base, n, 1 << 64)}::UHUGEINT"
+    doubled = ", ".join(f"h{2 * n} AS MATERIALIZED (SELECT r, i, {_mod(f'h * {power(n)} + coalesce(lead(h, {n}) OVER (PARTITION BY r ORDER BY i), 0)')} AS h FROM h{n})" for n in (1, 2, 4, 8, 16, 32))
+    if gram != 96:
+        raise ValueError("the SQL adds the hashes of 64 and 32 bytes")
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+p AS MATERIALIZED (SELECT r, unnest(range(n_bytes)) AS i, b FROM d),
+h1 AS MATERIALIZED (SELECT r, i, (('0x' || hex(b[i + 1:i + 1]))::INT + 1)::UHUGEINT AS h FROM p), {doubled},
+g AS (SELECT r, i, {_mod(f"h64.h * {power(32)} + h32.h")}::UBIGINT AS h FROM h64 JOIN (SELECT r, i - 64 AS i, h FROM h32) h32 USING (r, i) JOIN d USING (r) WHERE i + {gram} <= n_bytes),
+x AS (SELECT r, i, {_mod(f"xor(h, h >> 29)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT")}::UBIGINT AS h FROM g),
+y AS MATERIALIZED (SELECT r, i, xor(h, h >> 32) AS h FROM x),
+m AS (SELECT r, i, min(h // {1 << suffix.PLACE_BITS} * {1 << suffix.PLACE_BITS} + i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {passage - gram} FOLLOWING) % {1 << suffix.PLACE_BITS} AS place FROM y),
+n AS (SELECT DISTINCT r, y.h FROM m JOIN d USING (r) JOIN (SELECT r, i AS place, h FROM y) y USING (r, place) WHERE i + {passage} <= n_bytes),
+s AS (SELECT r, count(*) AS n_shared_grams FROM (SELECT r FROM n QUALIFY count(*) OVER (PARTITION BY h) > 1) GROUP BY r),
+q AS MATERIALIZED (SELECT r, i, md5(b[i + 1:i + {length}]) AS digest FROM p WHERE i + {length} <= octet_length(b)),
+z AS MATERIALIZED (SELECT digest FROM q GROUP BY digest HAVING count(*) > 1),
+f AS (SELECT r, i, i AS start FROM q SEMI JOIN z USING (digest)),
+c AS (SELECT r, i, hex(b[i + 1:i + 1]) AS byte, coalesce(max(start) OVER (PARTITION BY r ORDER BY i) > i - {length}, false) AS gone FROM p LEFT JOIN f USING (r, i)),
+e AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS was FROM c),
+o AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT was) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY r)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256,
+        coalesce(n_shared_grams, 0)::BIGINT AS n_shared_grams FROM d LEFT JOIN o USING (r) LEFT JOIN s USING (r)"""
+
+
 ORACLE_SQL = {
     "op1_mixing": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
@@ -127,6 +163,7 @@ a AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text,
         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_removed_words FROM w LEFT JOIN rep USING (n) LEFT JOIN x USING (n)),
 e AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM a)
 SELECT *, NOT base_failed AND NOT n_words - n_removed_words < n_words * {quality.LEAST_LEFT} AS kept FROM e""",
+    "op6_suffix_dedup": _suffix_sql(),
     "op8_exact_dedup": f"""
 WITH t AS (SELECT doc_id, sha256({_AZ.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, text_sha256
