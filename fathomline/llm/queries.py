@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cdc, common, exact, mixing, piece, quality, simhash, suffix, tokencount, toxicity, urlfilter
+from .hash_sql import mod, number, xxh64
 
 #: (action, host, path)
 URL_RULES = (
@@ -91,28 +92,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 _AZ = f"translate({{0}}, '{common.UPPER}', '{common.LOWER}')"
 
-#: Arithmetic of 64-bit hashes, in 128 bits.
-_WHOLE = f"{1 << 64}::UHUGEINT"
-
-
-def _mod(expression: str) -> str:
-    return f"(({expression}) % {_WHOLE})"
-
-
 def _suffix_sql(length: int = 400) -> str:
     """Repeats by a digest of each string of `length` bytes; passages by the least hash of a gram in each of their strings. Hashes of grams
     are made by doubling: h2n(i) = h1..n(i) * base ** n + hn(i + n)."""
     base, passage, gram = 0x9E3779B97F4A7C15, suffix.PASSAGE, suffix.PASSAGE_GRAM
-    power = lambda n: f"{pow(base, n, 1 << 64)}::UHUGEINT"
-    doubled = ", ".join(f"h{2 * n} AS MATERIALIZED (SELECT r, i, {_mod(f'h * {power(n)} + coalesce(lead(h, {n}) OVER (PARTITION BY r ORDER BY i), 0)')} AS h FROM h{n})" for n in (1, 2, 4, 8, 16, 32))
+    power = lambda n: number(pow(base, n, 1 << 64))
+    doubled = ", ".join(f"h{2 * n} AS MATERIALIZED (SELECT r, i, {mod(f'h * {power(n)} + coalesce(lead(h, {n}) OVER (PARTITION BY r ORDER BY i), 0)')} AS h FROM h{n})" for n in (1, 2, 4, 8, 16, 32))
     if gram != 96:
         raise ValueError("the SQL adds the hashes of 64 and 32 bytes")
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
 p AS MATERIALIZED (SELECT r, unnest(range(n_bytes)) AS i, b FROM d),
 h1 AS MATERIALIZED (SELECT r, i, (('0x' || hex(b[i + 1:i + 1]))::INT + 1)::UHUGEINT AS h FROM p), {doubled},
-g AS (SELECT r, i, {_mod(f"h64.h * {power(32)} + h32.h")}::UBIGINT AS h FROM h64 JOIN (SELECT r, i - 64 AS i, h FROM h32) h32 USING (r, i) JOIN d USING (r) WHERE i + {gram} <= n_bytes),
-x AS (SELECT r, i, {_mod(f"xor(h, h >> 29)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT")}::UBIGINT AS h FROM g),
+g AS (SELECT r, i, {mod(f"h64.h * {power(32)} + h32.h")}::UBIGINT AS h FROM h64 JOIN (SELECT r, i - 64 AS i, h FROM h32) h32 USING (r, i) JOIN d USING (r) WHERE i + {gram} <= n_bytes),
+x AS (SELECT r, i, {mod(f"xor(h, h >> 29)::UHUGEINT * {number(0xBF58476D1CE4E5B9)}")}::UBIGINT AS h FROM g),
 y AS MATERIALIZED (SELECT r, i, xor(h, h >> 32) AS h FROM x),
 m AS (SELECT r, i, min(h // {1 << suffix.PLACE_BITS} * {1 << suffix.PLACE_BITS} + i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {passage - gram} FOLLOWING) % {1 << suffix.PLACE_BITS} AS place FROM y),
 n AS (SELECT DISTINCT r, y.h FROM m JOIN d USING (r) JOIN (SELECT r, i AS place, h FROM y) y USING (r, place) WHERE i + {passage} <= n_bytes),
@@ -127,6 +120,22 @@ SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_r
         coalesce(n_shared_grams, 0)::BIGINT AS n_shared_grams FROM d LEFT JOIN o USING (r) LEFT JOIN s USING (r)"""
 
 
+def _simhash_sql(words: int = 4, radius: int = 4) -> str:
+    """Fingerprints by sums over each bit, links by comparing all, components by what is reached."""
+    bits = " + ".join(f"CASE WHEN 2 * sum((h >> {k}) & 1) > count(*) THEN {number(1 << k)} ELSE {number(0)} END" for k in range(simhash.BITS))
+    return f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '{WORD}') AS words FROM documents),
+s AS MATERIALIZED (SELECT r, array_to_string(words[i:i + {words - 1}], ' ') AS shingle FROM (SELECT r, words, unnest(generate_series(1, greatest(len(words) - {words - 1}, least(len(words), 1)))) AS i FROM t)),
+{", ".join(xxh64("s", "shingle", simhash.SEED))},
+f AS (SELECT r, {bits} AS fp FROM s JOIN hashed USING (shingle) GROUP BY r),
+d AS MATERIALIZED (SELECT doc_id, coalesce(fp, {number(0)})::HUGEINT AS fp FROM t LEFT JOIN f USING (r)),
+k AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM d GROUP BY fp),
+l AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM k a JOIN k b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= {radius}),
+reach(fp, other) AS (SELECT fp, fp FROM k UNION SELECT reach.fp, l.b FROM reach JOIN l ON l.a = reach.other),
+c AS (SELECT reach.fp, min(least) AS component_id FROM reach JOIN k ON k.fp = other GROUP BY reach.fp)
+SELECT doc_id, lpad(lower(hex(fp::UBIGINT)), 16, '0') AS fingerprint, component_id FROM d JOIN c USING (fp)"""
+
+
 ORACLE_SQL = {
     "op1_mixing": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
@@ -164,6 +173,7 @@ a AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text,
 e AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM a)
 SELECT *, NOT base_failed AND NOT n_words - n_removed_words < n_words * {quality.LEAST_LEFT} AS kept FROM e""",
     "op6_suffix_dedup": _suffix_sql(),
+    "op7_simhash_near_dedup": _simhash_sql(),
     "op8_exact_dedup": f"""
 WITH t AS (SELECT doc_id, sha256({_AZ.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, text_sha256
