@@ -49,7 +49,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, ranks_path: str | None =
 
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cdc.dedup_chunks(_table(spark, sf_dir, "documents"))
+    """The spans as text, lo-hi in order with blanks between."""
+    span = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["lo"], x["hi"])), " ")
+    return cdc.dedup_chunks(_table(spark, sf_dir, "documents")).withColumn("spans", span)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +122,28 @@ SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_r
         coalesce(n_shared_grams, 0)::BIGINT AS n_shared_grams FROM d LEFT JOIN o USING (r) LEFT JOIN s USING (r)"""
 
 
+def _chunk_sql() -> str:
+    """Gear hashes by doubling; from each place the cut that follows a chunk's begin there; the cuts of a text step by step."""
+    gear = f"[{', '.join(map(str, cdc.GEAR.tolist()))}]"
+    doubled = ", ".join(f"h{2 * n} AS MATERIALIZED (SELECT r, i, (h + coalesce(lag(h, {n}) OVER (PARTITION BY r ORDER BY i), 0) * {1 << n}) % {1 << 32} AS h FROM h{n})" for n in (1, 2, 4, 8, 16))
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+h1 AS MATERIALIZED (SELECT r, i, ({gear}::BIGINT[])[('0x' || hex(b[i:i]))::INT + 1] AS h FROM (SELECT r, b, unnest(generate_series(1, n_bytes)) AS i FROM d)), {doubled},
+e AS (SELECT r, i, n_bytes, CASE WHEN h < {1 << (32 - cdc.ZERO_BITS)} THEN i END AS cut FROM h32 JOIN d USING (r)),
+t AS MATERIALIZED (SELECT r, i - 1 AS lo, least(n_bytes, i - 1 + {cdc.MOST}, coalesce(min(cut) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {cdc.LEAST - 1} FOLLOWING AND {cdc.MOST - 1} FOLLOWING), n_bytes)) AS hi FROM e),
+c(r, lo, hi) AS (SELECT r, lo, hi FROM t WHERE lo = 0 UNION ALL SELECT t.r, t.lo, t.hi FROM c JOIN t ON t.r = c.r AND t.lo = c.hi),
+k AS (SELECT r, doc_id, lo, hi, b[lo + 1:hi] AS chunk FROM c JOIN d USING (r)),
+m AS MATERIALIZED (SELECT r, lo, hi, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, r, lo) > 1 AS gone, count(*) OVER (PARTITION BY chunk) > 1 AS shared FROM k),
+n AS (SELECT *, lo IS DISTINCT FROM lag(hi) OVER (PARTITION BY r ORDER BY lo) AS begins FROM m WHERE shared),
+o AS (SELECT *, sum(begins::INT) OVER (PARTITION BY r ORDER BY lo) AS run FROM n),
+p AS (SELECT *, sum(hi - lo) OVER (PARTITION BY r, run) >= {cdc.LEAST_RUN} AS held FROM o),
+s AS (SELECT r, count(*) AS n_shared, sum(hi - lo) AS shared_bytes, count(*) FILTER (gone) AS n_removed_chunks, sum(hi - lo) FILTER (gone) AS n_removed,
+        string_agg(lo || '-' || hi, ' ' ORDER BY lo) FILTER (gone) AS spans FROM p WHERE held GROUP BY r),
+q AS (SELECT r, count(*) AS n_chunks FROM m GROUP BY r)
+SELECT doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_chunks, 0)::BIGINT AS n_chunks, coalesce(n_shared, 0)::BIGINT AS n_shared, coalesce(shared_bytes, 0)::BIGINT AS shared_bytes,
+        coalesce(n_removed_chunks, 0)::BIGINT AS n_removed_chunks, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(spans, '') AS spans FROM d LEFT JOIN q USING (r) LEFT JOIN s USING (r)"""
+
+
 def _simhash_sql(words: int = 4, radius: int = 4) -> str:
     """Fingerprints by sums over each bit, links by comparing all, components by what is reached."""
     bits = " + ".join(f"CASE WHEN 2 * sum((h >> {k}) & 1) > count(*) THEN {number(1 << k)} ELSE {number(0)} END" for k in range(simhash.BITS))
@@ -156,6 +180,7 @@ u AS (SELECT row_number() OVER () AS n, page_id, {_AZ.format("coalesce(split_par
 b AS (SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(action, length(rule_host || rule_path)) AS verdict
       FROM u JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY n)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN b USING (n)""",
+    "op4_chunk_dedup": _chunk_sql(),
     "op5_quality_rules": rf"""
 WITH t AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM t),
