@@ -51,7 +51,7 @@ def with_reasons(pages: DataFrame) -> DataFrame:
 
 def keep_first(rows: DataFrame, order: str, url: str = "normalized_url", text_hash: str = "text_hash") -> DataFrame:
     """rows with `kept` and `duplicate` (url, text or null): in the given order a row is kept unless an earlier kept row has its URL or its
-    text hash.
+    text hash. A null key repeats no other.
 
     Rows that share no key with another are kept at once; the others are folded in order, one connected group of keys at a time."""
     keys = rows.select(F.col(order).alias("row"), F.explode(F.array(F.concat(F.lit("u"), F.col(url)), F.concat(F.lit("t"), F.col(text_hash)))).alias("key"))
@@ -82,8 +82,8 @@ def keep_first(rows: DataFrame, order: str, url: str = "normalized_url", text_ha
                     group, seen_urls, seen_texts = label, set(), set()
                 why = "url" if u in seen_urls else "text" if t in seen_texts else None
                 if why is None:
-                    seen_urls.add(u)
-                    seen_texts.add(t)
+                    seen_urls.update(k for k in (u,) if k is not None)
+                    seen_texts.update(k for k in (t,) if k is not None)
                 out.append((row, why))
             yield pd.DataFrame(out, columns=["row", "duplicate"])
 

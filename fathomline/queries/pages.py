@@ -272,6 +272,14 @@ ORACLE_SQL = {
     "previews": "SELECT doc_id, left(text, 500) AS preview, left(text, 300) AS snippet FROM documents",
     "json_paths": "SELECT event_id, props ->> '$.k' AS k, props ->> '$.none.such' AS missing FROM events",
     "low_value_filter": f"SELECT doc_id, {_has('lower(text)', clean.LOW_TEXTS)} AS low_value FROM documents",
+    "greedy_dedup": """
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS n, doc_id, source || '/' || left(text, 12) AS u, md5(text) AS t FROM documents),
+g(n, doc_id, duplicate, urls, texts) AS (
+    SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::VARCHAR[], []::VARCHAR[]
+    UNION ALL
+    SELECT x.n, x.doc_id, x.why, CASE WHEN why IS NULL THEN list_append(urls, u) ELSE urls END, CASE WHEN why IS NULL THEN list_append(texts, t) ELSE texts END
+    FROM (SELECT d.*, urls, texts, CASE WHEN list_contains(urls, u) THEN 'url' WHEN list_contains(texts, t) THEN 'text' END AS why FROM g JOIN d ON d.n = g.n + 1) x)
+SELECT doc_id, duplicate IS NULL AS kept, duplicate FROM g WHERE n > 0""",
     "text_hash_dedup": "SELECT md5(text) AS text_hash, min(doc_id) AS doc_id, count(*) AS n_rows FROM documents GROUP BY 1",
     "url_normalize": rf"SELECT page_id, {_VISITED} AS crawl_url, {_VISITED} AS visited_url, regexp_replace({_VISITED}, '\?utm_[a-z]+=[a-z]*$', '') AS page_url FROM pages",
     "visited_filter": f"SELECT page_id, page_id = min(page_id) OVER (PARTITION BY {_VISITED}) AS fresh FROM pages",

@@ -101,6 +101,12 @@ def test_greedy_dedup_is_the_fold(spark):
     assert sorted(r["id"] for r in got.where("kept").collect()) == want
 
 
+def test_null_keys_repeat_nothing(spark):
+    rows = [(1, "u", None), (2, "v", None), (3, None, "t"), (4, None, "t"), (5, "u", "s"), (6, None, None), (7, "v", "r")]
+    got = clean.keep_first(spark.createDataFrame(rows, "id long, normalized_url string, text_hash string"), "id")
+    assert sorted((r["id"], r["duplicate"]) for r in got.collect()) == [(1, None), (2, None), (3, None), (4, "text"), (5, "url"), (6, None), (7, "url")]
+
+
 def test_reasons(spark):
     good = "the rock and the volcano for this earth " * 5
     rows = [
