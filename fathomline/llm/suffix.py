@@ -53,7 +53,7 @@ class Limits:
     at most; a larger bucket is split."""
 
     stretch: int = 2_000_000
-    block: int = 3_000_000
+    block: int = 1_000_000
     crowd: int = 2048
 
 
