@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import words
 from ..shared import materialise
 
 
@@ -23,8 +28,8 @@ class Index:
 
 def term_counts(pages: DataFrame, stemmer: str = "none") -> DataFrame:
     """term, doc_id, tf over title and text of pages(doc_id, title, text). Stemming takes a pass over distinct terms only."""
-    words = tx.terms_of(F.concat_ws(" ", "title", "text"))
-    counts = pages.select("doc_id", F.explode(words).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    terms = tx.terms_of(F.concat_ws(" ", "title", "text"))
+    counts = pages.select("doc_id", F.explode(terms).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     if stemmer == "none":
         return counts
     stems = tx.stem_vocabulary(counts.select("term").distinct(), stemmer)
@@ -35,6 +40,41 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: Terms that a task counts before it gives their counts away.
+COUNTED = 200_000
+
+
+def index_terms(pages: DataFrame, stemmer: str = "none") -> DataFrame:
+    """The terms(term, df) of build_index, without its postings: each task counts the documents of its terms, so that a row for each task and
+    term is dealt out and none for each document and term. Rows of one doc_id are one document, and come to one task if there are any."""
+    lower = F.lower(F.concat_ws(" ", "title", "text"))
+    repeated = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    texts = pages.select(lower.alias("text")) if repeated.isEmpty() else pages.groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list(lower)).alias("text")).select("text")
+    of, stop = tx.STEMMERS[stemmer], frozenset(words.STOP_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems: dict[str, str] = {}
+        seen: Counter[str] = Counter()
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"term": pa.array(seen.keys(), pa.string()), "df": pa.array(seen.values(), pa.int64())})
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                own = set(re.findall("[a-z0-9]+", text)) - stop
+                for term in own:
+                    if term not in stems:
+                        stems[term] = of(term)
+                seen.update({stems[term] for term in own})
+                if len(stems) > COUNTED:
+                    yield given()
+                    seen.clear()
+                    stems.clear()
+        yield given()
+
+    return texts.mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+
 def idf(df: Column, n_docs: Column) -> Column:
     """log10(N / df); 0 where either is 0."""
     return F.when((df > 0) & (n_docs > 0), F.log10(n_docs / df)).otherwise(0.0)

@@ -171,6 +171,36 @@ def test_spelling(spark):
     assert expand.close_match("volcno", ["volcano", "rock"]) == "volcano" and expand.close_match("x", ["rock"]) is None
 
 
+def test_spelling_of_many_words(spark):
+    """Blocks of words give what close_match finds for one word at a time, and compare few of all pairs."""
+    import random
+    import time
+
+    some = random.Random(7)
+    vocabulary = sorted({"".join(some.choice("abcdeilnorst") for _ in range(some.randint(4, 12))) for _ in range(20_000)} | {"cababa"})
+    broken = sorted({v[:i] + v[i] + v[i:] for v in some.sample(vocabulary, 400) for i in [some.randrange(len(v))]} | {"b", "q9q9q9", "cabbabca"})
+    terms = spark.createDataFrame([(v, 9) for v in vocabulary], "term string, df long")
+    words = spark.createDataFrame([(0, i, w) for i, w in enumerate(broken)], "query_id int, place int, token string")
+    began = time.perf_counter()
+    got = {r["token"]: r["term"] for r in expand.correct_terms(words, terms, "none").collect()}
+    assert time.perf_counter() - began < 30
+    known = set(vocabulary)
+    assert set(got) == set(broken)
+    for w in [x for x in broken if x not in known][::8] + ["b", "q9q9q9"]:
+        assert got[w] == (expand.close_match(w, vocabulary) or w)
+    assert got["cabbabca"] == "cababa"  # the other way round, the two share shorter blocks
+
+
+def test_terms_without_postings(spark, monkeypatch):
+    rows = [(1, "", "Rocks rock the lava"), (1, "", "lava ash"), (2, "Rocking", None), (None, None, "ash 7"), (3, "", "")]
+    texts = spark.createDataFrame(rows, "doc_id long, title string, text string")
+    monkeypatch.setattr(index, "COUNTED", 2)
+    for frame in (texts, texts.dropDuplicates(["doc_id"]), texts.where("doc_id > 9")):
+        for stemmer in ("none", "english"):
+            whole = index.document_frequency(index.term_counts(frame, stemmer))
+            assert sorted(index.index_terms(frame, stemmer).collect()) == sorted(whole.collect())
+
+
 def test_natural_words(spark):
     surfaces = spark.createDataFrame([("volcano", "volcanoes"), ("rock", "Rocks "), ("b2", "b2b"), ("ash", "ash"), ("x", "xy")], "stem string, surface string")
     lemmas = spark.createDataFrame([("volcanoes", "volcano"), ("rocks", "stone"), ("b2b", "b2"), ("ash", "as")], "surface string, lemma string")
