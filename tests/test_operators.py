@@ -305,3 +305,32 @@ def test_scores():
     assert cluster.silhouette(x, labels, block=3) == pytest.approx(((b - a) / b).mean())
     assert cluster.davies_bouldin(x, labels) == pytest.approx(0.1 / 5)
     assert cluster.silhouette(x, np.zeros(4)) == -1 and cluster.davies_bouldin(x, np.zeros(4)) == math.inf
+
+
+@pytest.mark.parametrize("most, min_df", [(25, 3), (10_000, 1)])
+def test_vocabulary_without_rows_for_pairs(spark, monkeypatch, most, min_df):
+    """Counts by numbers of words give the vocabulary and vectors of the plain counts: null and empty texts, ids that repeat, small tables."""
+    for name, small in (("COUNTED", 5), ("PAIRED", 5), ("SUMS", 16)):
+        monkeypatch.setattr(vectors, name, small)
+    some = np.random.default_rng(3)
+    rows = [(int(i % 70), " ".join(f"w{int(x)}" for x in some.zipf(1.5, 30) % 60) + " the Lava_x and Caf\u00e9 rock's 7 77") for i in range(80)] + [(200, None), (None, "w1 w2 the w3"), (201, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for texts in (frame, frame.dropDuplicates(["doc_id"])):
+        counts, n = vectors.gram_counts(texts), texts.count()
+        plain = vectors.fit_vocabulary(counts, n, most, min_df)
+        parts, repeated = vectors._texts(texts)
+        vocabulary, coded, names = vectors.corpus_vocabulary(parts, n, most, min_df, vectors.MAX_DF)
+        assert repeated == (texts is frame)
+        assert sorted(vocabulary.collect()) == sorted(plain.collect())
+        key = lambda r: (r["doc_id"] is None, r["doc_id"])
+        want, got = (sorted(f.collect(), key=key) for f in (vectors.tfidf_vectors(counts, plain), vectors.coded_vectors(coded, names, vocabulary)))
+        assert [(r["doc_id"], r["ids"]) for r in got] == [(r["doc_id"], r["ids"]) for r in want]
+        assert all(np.allclose(g["weights"], w["weights"]) for g, w in zip(got, want, strict=True))
+        projection = vectors.fit_projection(texts, most, min_df, components=4)
+        basis, seen = projection.basis, {r["doc_id"]: (r["ids"], r["weights"]) for r in want}
+        out = projection.transform(texts).collect()
+        assert len(out) == n
+        for r in out:
+            ids, weights = seen.get(r["doc_id"], ([], []))
+            x = np.array(weights) @ basis[list(ids)] if len(ids) else np.zeros(basis.shape[1])
+            assert np.allclose(r["vec"], x / max(np.linalg.norm(x), 1e-300), atol=1e-5)
