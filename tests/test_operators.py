@@ -328,6 +328,8 @@ def test_vocabulary_without_rows_for_pairs(spark, monkeypatch, most, min_df):
         assert all(np.allclose(g["weights"], w["weights"]) for g, w in zip(got, want, strict=True))
         projection = vectors.fit_projection(texts, most, min_df, components=4)
         basis, seen = projection.basis, {r["doc_id"]: (r["ids"], r["weights"]) for r in want}
+        found = projection.term_counts(texts).select("doc_id", F.explode(F.arrays_zip("ids", "tfs")).alias("g")).select("doc_id", F.col("g.ids").alias("term_id"), F.col("g.tfs").alias("tf"))
+        assert sorted(map(str, found.collect())) == sorted(map(str, counts.join(vocabulary, "term").select("doc_id", "term_id", "tf").collect()))
         out = projection.transform(texts).collect()
         assert len(out) == n
         for r in out:
